@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing
+from . import bpe, packing, tokenstore
 
 
 def tokenizer(name: str) -> str:
@@ -16,11 +16,21 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.stored_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_content_addressed_store": op2_content_addressed_store,
+    "op5_byte_bpe": op5_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
