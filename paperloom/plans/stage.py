@@ -35,15 +35,16 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/stage-{uuid.uuid4().hex}-{tag}"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back with the same schema."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back with its schema; and the path."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """``staged`` for tables that stay until the job ends."""
+    return staged(df, tag)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
