@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, packing, simhash, tokenstore
+from . import bpe, packing, simhash, tokenstore, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -33,10 +33,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_naive_bayes_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_addressed_store": op2_content_addressed_store,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_naive_bayes_ngrams": op10_naive_bayes_ngrams,
 }
 ORACLES: dict[str, str] = {}
