@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, packing, simhash, tokenstore, toxicity
+from . import bpe, packing, quality, simhash, tokenstore, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -20,6 +20,11 @@ def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -39,6 +44,7 @@ def op10_naive_bayes_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_addressed_store": op2_content_addressed_store,
+    "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_best_fit_packing": op8_best_fit_packing,
