@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, quality, simhash, tokenstore, toxicity
+from . import bpe, packing, quality, sharding, simhash, tokenstore, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +30,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_content_addressed_store": op2_content_addressed_store,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_histogram_sort_shards": op6_histogram_sort_shards,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_naive_bayes_ngrams": op10_naive_bayes_ngrams,
