@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, packing, quality, sharding, simhash, tokenstore, toxicity, vafile
+from . import bpe, htmltext, packing, quality, sharding, simhash, tokenstore, toxicity, vafile
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -71,6 +75,7 @@ def op10_naive_bayes_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tree_scoring": op1_tree_scoring,
     "op2_content_addressed_store": op2_content_addressed_store,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_byte_bpe": op5_byte_bpe,
