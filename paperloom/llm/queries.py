@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, htmltext, packing, quality, sharding, simhash, tokenstore, toxicity, vafile
+from . import bpe, htmltext, packing, quality, sharding, simhash, tokenstore, toxicity, unigram, vafile
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +25,10 @@ def op2_content_addressed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_count_only_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,6 +81,7 @@ def op10_naive_bayes_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tree_scoring": op1_tree_scoring,
     "op2_content_addressed_store": op2_content_addressed_store,
+    "op3_count_only_viterbi": op3_count_only_viterbi,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_histogram_sort_shards": op6_histogram_sort_shards,
