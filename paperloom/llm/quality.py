@@ -74,6 +74,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
         *[f"cast({c} AS long) AS {c}" for c in made[:4]],
         f"CASE WHEN _at IS NOT NULL THEN {covered} ELSE 0L END AS n_repeat_words",
     )
+    # A generator of one row: the optimizer would push a filter on these columns below the steps above
+    # and repeat each step inside the lambdas of the next, for every word.
+    counted = counted.selectExpr(*keep, f"inline(array(struct({', '.join(made[:5])})))")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
