@@ -1,10 +1,293 @@
-"""The queries of the library's own operators, with their DuckDB equivalents."""
+"""The queries of the library's own operators, with their DuckDB equivalents.
+
+The driver's tables hold no contracts, so each query binds an operator to the closest table; where
+no text has the wording that an operator reads, the query renders it from the columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..session import table
+from ..sources.files import html_elements
+from . import audit, definitions, layout, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: White space for RE2, as the JVM's Unicode class has it.
+RE2_WHITE = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]+"
+KEYWORDS = ("licen[sc]e", "copyright", "contact")
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+LINES_SQL = r"""l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS text
+  FROM documents
+), b AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS block_idx, text FROM l WHERE text <> '')"""
+
+
+@query(
+    f"""WITH {LINES_SQL} SELECT doc_id, block_idx, length(text) AS n_chars, s AS start_char, s + length(text) AS end_char
+FROM (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM b)"""
+)
+def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = layout.with_offsets(layout.blocks_from_lines(table(spark, sf_dir, "documents")))
+    return blocks.select("doc_id", "block_idx", F.length("text").cast("long").alias("n_chars"), "start_char", "end_char")
+
+
+@query()
+def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.chunk_blocks(layout.blocks_from_lines(table(spark, sf_dir, "documents")))
+
+
+@query(
+    f"""WITH {LINES_SQL} SELECT doc_id, block_idx, last_value(CASE WHEN length(text) < 40 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_label FROM b"""
+)
+def carry_forward_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = layout.blocks_from_lines(table(spark, sf_dir, "documents"))
+    return layout.carry_label(blocks, F.when(F.length("text") < 40, F.col("text"))).select("doc_id", "block_idx", "section_label")
+
+
+@query("""WITH m AS (SELECT *, CAST(sum(CASE WHEN role <> 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM conversations)
+SELECT conv_id AS doc_id, island, string_agg(text, chr(10) ORDER BY turn) AS text FROM m GROUP BY conv_id, island""")
+def table_island_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "role", "text")
+    return layout.merge_tables(turns, F.col("role") == "assistant")
+
+
+@query("""SELECT conv_id, turn, before FROM (SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1 - 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM conversations) WHERE before < 300""")
+def preamble_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id")
+    return layout.within_budget(turns, "turn", 300).select(F.col("doc_id").alias("conv_id"), "turn", "before")
+
+
+@query(f"SELECT doc_id, coalesce(regexp_matches(text, '(?i)(?:{'|'.join(KEYWORDS)})'), false) AS keyword_match FROM documents")
+def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.keyword_match("text", KEYWORDS).alias("keyword_match"))
+
+
+ASKED = ("license and copyright notice of the document", "contact the author by phone or mail")
+TFIDF_SQL = rf"""items AS (
+  SELECT coalesce(source, '') AS source, doc_id, text FROM documents
+  UNION ALL SELECT DISTINCT coalesce(source, ''), -q.i, q.t FROM documents, (VALUES (1, '{ASKED[0]}'), (2, '{ASKED[1]}')) q(i, t)
+), w AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}')) AS term FROM items),
+tf AS (SELECT source, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT source, count(DISTINCT doc_id) AS n FROM items GROUP BY ALL),
+raw AS (SELECT source, doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (source, term) JOIN n USING (source)),
+wt AS (SELECT source, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY source, doc_id)) AS weight FROM raw),
+dots AS (SELECT a.source, a.doc_id, q.doc_id AS q, sum(a.weight * q.weight) AS dot FROM wt a JOIN wt q ON a.source = q.source AND a.term = q.term AND q.doc_id < 0 AND a.doc_id >= 0 GROUP BY ALL),
+s AS (SELECT source, doc_id, round(max(dot), 6) AS embedding_score FROM dots GROUP BY ALL)"""
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
+    asked = F.explode(F.array(*[F.struct(F.lit(-i).cast("long").alias("doc_id"), F.lit(t).alias("text")) for i, t in enumerate(ASKED, 1)]))
+    items = docs.unionByName(docs.select("source").distinct().select("source", asked.alias("q")).select("source", "q.doc_id", "q.text"))
+    return retrieval.tfidf(items, "source", "doc_id")
+
+
+@query(f"WITH {TFIDF_SQL} SELECT source, doc_id, term, round(weight, 6) AS weight FROM wt")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    rf"""WITH {TFIDF_SQL}, c AS (
+  SELECT coalesce(d.source, '') AS source, d.doc_id, coalesce(regexp_matches(d.text, '(?i)(?:{"|".join(KEYWORDS)})'), false) AS keyword_match, coalesce(s.embedding_score, 0) AS embedding_score
+  FROM documents d LEFT JOIN s ON s.source = coalesce(d.source, '') AND s.doc_id = d.doc_id
+), r AS (SELECT *, embedding_score + CASE WHEN keyword_match THEN 1 ELSE 0 END AS score FROM c WHERE keyword_match OR embedding_score >= 0.05)
+SELECT source, doc_id, keyword_match, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r) WHERE rank <= 5"""
+)
+def candidate_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: similarity to the queries, keywords, floor and the best five of each source."""
+    scores = retrieval.query_scores(_weights(spark, sf_dir), "source", "doc_id", [-i for i in range(1, len(ASKED) + 1)]).withColumn("embedding_score", F.round("score", 6)).drop("score")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
+    best = retrieval.top_candidates(docs.join(scores, ["source", "doc_id"], "left"), "source", "doc_id", KEYWORDS, 0.05)
+    return best.select("source", "doc_id", "keyword_match", "score", "rank")
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (
+  SELECT vec_id, v, list_transform(v, lambda x: 1.0::DOUBLE) AS a, list_transform(range(len(v)), lambda i: CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS b FROM e)
+SELECT vec_id, round(greatest(list_cosine_similarity(v, a), list_cosine_similarity(v, b)), 6) AS score FROM q""")
+def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    ones, signs = F.transform("embedding", lambda x: F.lit(1.0)), F.transform("embedding", lambda x, i: F.when(i % 2 == 0, 1.0).otherwise(-1.0))
+    return v.select("vec_id", F.round(F.greatest(C.cosine("embedding", ones), C.cosine("embedding", signs)), 6).alias("score"))
+
+
+TIERS = {"first": (r"\bzq\w+", r"\?"), "second": (r"\?", r"\w{9,}"), "third": (r"\d", r"\w{6,}")}
+
+
+@query()
+def tiered_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.tiered_first_match(table(spark, sf_dir, "conversations"), "conv_id", "turn", TIERS)
+
+
+@query("""SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS user_text,
+arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL) AS assistant_text FROM conversations GROUP BY conv_id""")
+def ordered_coalesce_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    partial = turns.select("conv_id", "turn", *[F.when(F.col("role") == r, F.col("text")).alias(f"{r}_text") for r in ("user", "assistant")])
+    return audit.merge_partials(partial, "conv_id", "turn", ["user_text", "assistant_text"])
+
+
+@query(rf"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(text, '{RE2_WHITE}', ' ', 'g')))")
+def dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", C.normalized("text").alias("norm"))
+    return audit.keep_first(docs.select("doc_id", F.sha2("norm", 256).alias("key")), [F.col("key")], [F.col("doc_id")]).select("doc_id")
+
+
+@query(rf"""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(translate(substr(text, 11, 80), 'aeiou', 'AEIOU'), '{RE2_WHITE}', ' ', 'g'))) AS q, lower(trim(regexp_replace(text, '{RE2_WHITE}', ' ', 'g'))) AS s FROM documents)
+SELECT doc_id, coalesce(q <> '' AND contains(s, q), false) AS citation_verified FROM n""")
+def citation_audit_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.substring("text", 11, 80), "aeiou", "AEIOU").alias("quote"), F.col("text").alias("source"))
+    return audit.audit_exact(pairs).select("doc_id", "citation_verified")
+
+
+@query()
+def citation_audit_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.substring("text", 11, 80), "ei", "ie").alias("quote"), F.col("text").alias("source"))
+    return audit.audit_citations(pairs).select("doc_id", "citation_verified", F.round("citation_similarity", 6).alias("citation_similarity"))
+
+
+CLAUSE = "CASE o_orderkey % 3 WHEN 0 THEN concat('shall not exceed $', {money}, ' at any time') WHEN 1 THEN concat('shall not be less than ', cast(o_custkey as string), '.25 to 1.00') ELSE concat('about $', {money}) END"
+
+
+@query(
+    rf"""WITH c AS (SELECT o_orderkey, o_totalprice, {CLAUSE.format(money="format('{:,.2f}', o_totalprice)").replace("string", "varchar")} AS t FROM orders), p AS (
+  SELECT *, CASE WHEN regexp_matches(t, '(?i)\b(exceed|greater than)\b') THEN 'not_to_exceed' WHEN regexp_matches(t, '(?i)\b(less than|not less than)\b') THEN 'not_less_than' END AS comparison,
+    TRY_CAST(regexp_extract(t, '(\d+(?:\.\d+)?)\s*(?::|to)\s*1(?:\.0+)?', 1) AS DOUBLE) AS r, TRY_CAST(replace(regexp_extract(t, '\$\s*([\d,]+(?:\.\d+)?)', 1), ',', '') AS DOUBLE) AS d FROM c)
+SELECT o_orderkey, comparison, CASE WHEN comparison IS NOT NULL THEN coalesce(r, d) END AS threshold, contains(t, format('{{:,.2f}}', o_totalprice)) AS grounded,
+  comparison IS NULL OR (comparison = 'not_to_exceed' AND abs(coalesce(r, d) - round(o_totalprice, 2)) <= 1e-6) AS agrees FROM p"""
+)
+def threshold_reparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("clause", F.expr(CLAUSE.format(money="format_number(o_totalprice, 2)")))
+    orders = orders.withColumn("value", F.round(F.col("o_totalprice").cast("double"), 2)).withColumn("stated", F.lit("not_to_exceed"))
+    return orders.select("o_orderkey", C.comparison_of("clause").alias("comparison"), C.threshold_of("clause").alias("threshold"), C.grounded("value", "clause").alias("grounded"), C.covenant_checks("clause", "stated", "value").alias("agrees"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (1 + o_custkey % 90) * 1000000.0 ELSE (1 + o_custkey % 90) * 1.0 END::DOUBLE AS fixed_amount,
+(o_custkey % 40 + 0.5)::DOUBLE AS percent, 'Consolidated Assets' AS percent_base, o_orderkey % 2 = 0 AS is_grower FROM orders""")
+def basket_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat(IF(o_orderkey % 2 = 0, 'the greater of $', 'up to $'), 1 + o_custkey % 90, IF(o_orderkey % 2 = 0, ' million', ''), ' or ', o_custkey % 40, '.5% of Consolidated Assets; in all')")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", C.basket("t").alias("b")).select("o_orderkey", "b.*")
+
+
+@query("""WITH g AS (SELECT l.*, d.doc_id IS NOT NULL AS hit, coalesce(d.n_chars > 1000, false) AS t, coalesce(l.quality = 1 AND d.doc_id IS NOT NULL, false) AS k FROM labels l LEFT JOIN documents d USING (doc_id))
+SELECT count(*) AS num_gold, count(*) FILTER (hit) AS num_hits, round(count(*) FILTER (hit) / count(*), 6) AS recall, round(count(*) FILTER (hit) / 1000, 6) AS precision,
+round(count(*) FILTER (t) / count(*) FILTER (hit), 6) AS threshold_accuracy, round(count(*) FILTER (k) / count(*) FILTER (hit), 6) AS covenant_type_accuracy FROM g""")
+def gold_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(True).alias("hit"))
+    found = table(spark, sf_dir, "labels").join(docs, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    found = found.withColumn("threshold_ok", F.coalesce(F.col("n_chars") > 1000, F.lit(False))).withColumn("type_ok", F.col("hit") & (F.col("quality") == 1))
+    scores = audit.match_scores(found, 1000)
+    return scores.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in scores.dtypes])
+
+
+@query()
+def similarity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of one conversation paired across roles; a conversation's turns bound its pairs."""
+    turns = table(spark, sf_dir, "conversations")
+    a = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("a"), F.col("text").alias("text_a"))
+    b = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), F.col("text").alias("text_b"))
+    return audit.best_first_matches(a.join(b, "conv_id").withColumn("score", audit.similarity("text_a", "text_b")), "conv_id", "a", "b", "score", 0.3)
+
+
+DEFINED = """SELECT c_nationkey AS doc_id, c_custkey AS chunk_idx, concat('Section ', cast(floor(c_custkey / 20) AS INT)) AS section_label,
+CASE WHEN c_custkey % 50 = 0 THEN concat('"', c_name, '" means the holder') ELSE concat(c_mktsegment, ' clause') END AS text FROM customer"""
+
+
+@query(f"""WITH c AS ({DEFINED}) SELECT doc_id, chunk_idx FROM c WHERE text LIKE '"%' OR (doc_id, section_label) IN (SELECT (doc_id, section_label) FROM c WHERE text LIKE '"%')""")
+def definition_label_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = spark.sql(DEFINED.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return definitions.definition_chunks(chunks).select("doc_id", "chunk_idx")
+
+
+@query("SELECT c_custkey, concat('the ', c_mktsegment, ' account of ', c_name, '.') AS definition FROM customer")
+def find_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("""concat('"Other Term" means nothing. "Guarantor Subsidiaries for any period, means,  the ', c_mktsegment, '\n account of ', c_name, '. "Last" shall mean it.')""")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", text.alias("t"), F.lit("Guarantor Subsidiary").alias("term"))
+    return customers.select("c_custkey", definitions.find_definition(F.col("term"), F.col("t")).alias("definition"))
+
+
+@query(rf"SELECT DISTINCT doc_id, trim(regexp_replace(unnest(regexp_extract_all(text, '(?:[A-Z][a-zA-Z]*{RE2_WHITE}){{1,6}}[A-Z][a-zA-Z]*')), '{RE2_WHITE}', ' ', 'g')) AS phrase FROM documents")
+def title_case_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.phrases(table(spark, sf_dir, "documents")).select("doc_id", "phrase")
+
+
+TERMS = "SELECT n_regionkey AS doc_id, n_name AS term, concat('the sum of ', lead(n_name, 1, 'nothing') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 's and its own ', n_name) AS definition FROM nation"
+
+
+@query(rf"""WITH t AS ({TERMS}) SELECT DISTINCT p.doc_id, p.term AS parent, c.term AS child FROM t p JOIN t c ON p.doc_id = c.doc_id AND p.term <> c.term AND regexp_matches(p.definition, c.term || '"?s?\b')""")
+def term_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.sql(TERMS.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
+    return definitions.reference_edges(terms)
+
+
+@query(rf"""WITH t AS ({TERMS}) SELECT n_regionkey AS doc_id, n_name AS term, false AS on_cycle FROM nation""")
+def resolution_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.resolution_order(term_reference_edges(spark, sf_dir)).select("doc_id", "term", "on_cycle")
+
+
+@query("""WITH r AS (
+  SELECT concat('R', r_regionkey) AS root, concat('R', r_regionkey) AS term, 0 AS depth, 0 AS a, 0 AS b FROM region
+  UNION ALL SELECT concat('R', n_regionkey), concat('N', n_nationkey), 1, n_nationkey, 0 FROM nation
+  UNION ALL SELECT concat('R', n_regionkey), concat('S', s_suppkey), 2, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), p AS (SELECT root, term, depth, row_number() OVER (PARTITION BY root ORDER BY depth, a, b) AS place FROM r) SELECT * FROM p WHERE place <= 8""")
+def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    edges = nation.selectExpr("concat('R', n_regionkey) AS parent", "concat('N', n_nationkey) AS child", "cast(n_nationkey AS long) AS ord")
+    edges = edges.unionByName(supplier.selectExpr("concat('N', s_nationkey) AS parent", "concat('S', s_suppkey) AS child", "cast(s_suppkey AS long) AS ord"))
+    roots = table(spark, sf_dir, "region").selectExpr("concat('R', r_regionkey) AS root")
+    return definitions.bounded_chain(edges, roots)
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_elements(table(spark, sf_dir, "pages"), "page_id", "html")
+    labelled = layout.carry_label(found, layout.label_of("text", "kind"), "pos")
+    return layout.with_offsets(labelled.withColumnRenamed("pos", "block_idx"))
+
+
+@query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+
+
+@query("SELECT doc_id, 'quality' AS reason FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1")
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array(F.when(F.col("quality") == 0, F.lit("quality")), F.when(F.col("toxic") == 1, F.lit("toxic")))
+    return table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array_compact(flags)).alias("reason"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def stale_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT d.doc_id, coalesce(CAST(l.toxic AS VARCHAR), d.lang) AS lang FROM documents d LEFT JOIN labels l USING (doc_id)")
+def merge_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("lang"))
+    return audit.backfilled(table(spark, sf_dir, "documents").select("doc_id", "lang"), new, "doc_id", "lang")
+
+
+@query("""SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+CASE WHEN c_nationkey <> 0 THEN concat('page ', c_nationkey) ELSE 'unknown location' END AS location FROM customer""")
+def scalar_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").withColumn("label", F.lit(""))
+    return customers.select("c_custkey", C.slug("c_name").alias("slug"), C.location_label("c_nationkey", "label").alias("location"))
