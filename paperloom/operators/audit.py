@@ -8,17 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import normalized
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; null with a null side."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def window_similarity(quote: pd.Series, source: pd.Series) -> pd.Series:
     """Ratio of a quote and the part of the source around their longest common block."""
 
@@ -26,8 +27,7 @@ def window_similarity(quote: pd.Series, source: pd.Series) -> pd.Series:
         block = SequenceMatcher(None, s, q).find_longest_match(0, len(s), 0, len(q))
         if not block.size:
             return 0.0
-        start = max(0, block.a - block.b - 10)
-        return SequenceMatcher(None, s[start : block.a - block.b + len(q) + 10], q).ratio()
+        return SequenceMatcher(None, s[max(0, block.a - 10) : block.a + block.size + 10], q).ratio()
 
     return pd.Series([one(q or "", s or "") for q, s in zip(quote, source, strict=True)], dtype="float64")
 
