@@ -49,10 +49,11 @@ def test_order_with_a_cycle(spark):
 
 def test_audit(spark):
     source = "The Borrower shall not permit the Leverage Ratio to exceed 3.50 to 1.00 at any time."
-    quotes = ["the  borrower SHALL not", "", None, "wholly invented words zzz", "shall not permit the Leverage Ration to exceed 3.50"]
+    quotes = ["the  borrower SHALL not", "", None, "wholly invented words zzz", "shall not permit the Leverage Ration to exceed 3.50", "The Borrower shall not permit the Leverage Ratio to exceed 3.5O"]
     df = spark.createDataFrame([(i, q, source) for i, q in enumerate(quotes)], "i int, quote string, source string")
     got = {r.i: r.citation_verified for r in audit.audit_citations(df).collect()}
-    assert got == {0: True, 1: False, 2: False, 3: False, 4: True}
+    # By hand: the fourth has 90 of 106 characters in common with its window, the fifth at least 122 of 134.
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False, 5: True}
 
 
 def test_tiers_take_free_chunks_only(spark):
