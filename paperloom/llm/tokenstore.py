@@ -305,7 +305,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, ids array<long>`` of every document, put together from its chunks."""
     width = _width(spark, path)
 
-    def join(key, table: pa.Table) -> pa.Table:
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bodies = [b for _, b in sorted(zip(table["seq"].to_pylist(), table["body"].to_pylist(), strict=True))]
         ids = np.frombuffer(b"".join(bodies), f"<u{width}").astype(np.int64)
         return pa.table({"doc_id": pa.array([key[1].as_py()], pa.int64()), "start": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))})
