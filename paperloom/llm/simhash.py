@@ -52,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    hashes = np.array([xxh64_intdigest(p, seed) for p in parts], "<u8")
+    hashes = np.fromiter((xxh64_intdigest(p, seed) for p in parts), "<u8")
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), COUNTED):
         own = hashes[a : a + COUNTED].view(np.uint8).reshape(-1, 8)

@@ -30,22 +30,29 @@ FEATURES = 4096
 LEAST_CHI2 = 12.0
 PENALTY = 2e-4
 STEPS = 400
+#: Bytes of a text whose n-grams are looked at together.
+STRETCH = 1 << 18
 SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def ngram_buckets(text: str | None) -> np.ndarray:
-    """The bucket of each n-gram of a whole text, repeats included."""
+def ngram_buckets(text: str | None) -> Iterator[np.ndarray]:
+    """The bucket of each n-gram of a whole text, repeats included, in arrays of bounded length."""
     raw = b" " + b" ".join((text or "").encode().lower().translate(SPACE).split(b" ")) + b" "
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    out, key = [], np.zeros(len(b), np.uint64)
-    for k in range(max(ORDERS)):
-        if len(b) <= k:
-            break
-        key = key[: len(b) - k] | b[k:] << np.uint64(8 * k)
-        if k + 1 in ORDERS:
-            mixed = (key + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+    whole = np.frombuffer(raw, np.uint8)
+    for start in range(0, len(whole), STRETCH):
+        b = whole[start : start + STRETCH + max(ORDERS) - 1].astype(np.uint64)
+        key = np.zeros(len(b), np.uint64)
+        for k in range(min(max(ORDERS), len(b))):
+            key = key[: len(b) - k] | b[k:] << np.uint64(8 * k)
+            if k + 1 in ORDERS:
+                mixed = (key[:STRETCH] + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)
+                yield (mixed >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def distinct(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """Each value once, ascending."""
+    own = [np.unique(p) for p in parts]
+    return np.unique(np.concatenate(own)) if own else np.zeros(0, np.int32)
 
 
 @dataclass
@@ -57,9 +64,8 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """The probability of label 1; an empty text has that of the bias alone."""
-        at = ngram_buckets(text)
-        own = self.weights[at]
-        z = self.bias + float(self.weights[np.unique(at[own != 0])].sum())
+        at = distinct(p[self.weights[p] != 0] for p in ngram_buckets(text))
+        z = self.bias + float(self.weights[at].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
@@ -90,8 +96,8 @@ def fit(sample: DataFrame, features: int = FEATURES, penalty: float = PENALTY, s
         flag = np.zeros(1 << BITS, bool)
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = ngram_buckets(text)
-                flag[at] = True
+                for at in ngram_buckets(text):
+                    flag[at] = True
                 own = np.flatnonzero(flag)
                 flag[own] = False
                 counts[y, own] += 1
@@ -119,8 +125,8 @@ def fit(sample: DataFrame, features: int = FEATURES, penalty: float = PENALTY, s
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(place[ngram_buckets(t)]) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[x >= 0] for x in own], pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
+            own = [distinct(place[p][place[p] >= 0] for p in ngram_buckets(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), batch.column(1)], ["at", "y"])
 
     rows = sample.mapInArrow(chosen, "at array<int>, y int").toArrow()
     at = rows["at"].combine_chunks()
