@@ -19,7 +19,7 @@ END_ID = 1
 #: Text bytes that are split and gathered at once.
 SLICE_BYTES = 2 << 20
 #: Words in one generation of the cache.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 #: Words that go to the library in one text.
 JOINED_WORDS = 200
 
