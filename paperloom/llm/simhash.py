@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -134,11 +134,15 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
     Of rows that share that id (repeated rows, or rows of a component that has only null ids) the
     one with the least text hash stays, once. All columns stay.
     """
-    rows = near_groups(docs, **params)
+    return first_of_groups(docs, near_groups(docs, **params))
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, group: str = "group_fp", text: str | Column = "text") -> DataFrame:
+    """The first of each ``group`` of ``rows(doc_id, text_key)``, whose key hashes ``text``, out of ``docs``."""
     # Nulls come last in the order of structs.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    first = rows.groupBy("group_fp").agg(F.min(order).alias("first")).select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.text_key").alias("_text")).distinct()
-    known = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.xxhash64("text")})
+    first = rows.groupBy(group).agg(F.min(order).alias("first")).select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.text_key").alias("_text")).distinct()
+    known = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.xxhash64(text)})
     own = Window.partitionBy("_id", "_text").orderBy("_id", "_text")
     kept = known.join(first, ["_id", "_text"]).withColumn("_nth", F.row_number().over(own)).where("_nth = 1")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
