@@ -8,8 +8,9 @@ documents of a host than the limit allows is boilerplate there and removed. A do
 over half of its words is depleted and rejected.
 
 Documents of one host with equal texts count as one document, so copies don't make each other's
-lines frequent. Lines of over ``LINE_WORDS`` words are passages, not boilerplate, and always stay:
-otherwise a large group of near copies, which share their passages, would be rejected whole.
+lines frequent. A large group of near copies shares its lines too and would be rejected whole. So of
+the depleted documents that lose most by the same line (the one of most words), one stays if over half
+of the line's documents are depleted: then the line belongs to copies, not around other texts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.stage import materialize, staged
+from ..plans.stage import materialize
 
 LEAST_WORDS = 20
 WINDOW = 8
@@ -25,9 +26,12 @@ REPEATED_PERCENT = 30
 #: A line is boilerplate if more distinct documents of its host hold it than both of these.
 LINE_DOCS = 10
 LINE_SHARE = 0.001
-LINE_WORDS = 25
+#: Lines of every length count.
+LINE_WORDS = (1 << 31) - 1
 #: A document that loses more than this share of its words is depleted.
 LOST_SHARE = 0.5
+#: One of a line's depleted documents stays if they are more than this share of its documents.
+COPIES_SHARE = 0.5
 #: Tasks that a line's rows are dealt to in the join.
 SALTS = 16
 #: Rows (16 bytes each) up to which a table is broadcast; above, it is joined by exchange.
@@ -87,13 +91,13 @@ def host_of(host: str = "source") -> Column:
 
 
 def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``host, text_key, line, words`` once for each place of a short line in each distinct text of a host."""
+    """``host, text_key, line, words`` once for each place of a line with words in each distinct text of a host."""
     lines = docs.select(host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
     lines = lines.selectExpr("host", "text_key", r"posexplode(split(text, r'\n')) AS (place, raw)")
     # Splitting at white space both counts the words and normalises.
     words = lines.selectExpr("host", "text_key", "place", f"filter(split(lower(raw), r'{SPACE}'), w -> w <> '') AS words")
-    short = words.where(F.size("words").between(1, LINE_WORDS))
-    return short.selectExpr("host", "text_key", "place", "xxhash64(array_join(words, ' ')) AS line", "size(words) AS words").distinct()
+    words = words.where(F.size("words") > 0)
+    return words.selectExpr("host", "text_key", "place", "xxhash64(array_join(words, ' ')) AS line", "size(words) AS words").distinct()
 
 
 def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -105,42 +109,68 @@ def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: flo
 
 
 def lost_words(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``host, text_key, lost``: words of boilerplate lines in each distinct text that has any."""
+    """``host, text_key, lost, line, docs``: words of boilerplate lines in each distinct text that has any, and the line of most words with its documents."""
     lines = materialize(document_lines(docs, host), "lines")
     frequent = frequent_lines(lines)
-    salted = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = frequent.select("host", "line", "docs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = lines.withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["host", "line", "salt"]).groupBy("host", "text_key").agg(F.sum("words").alias("lost"))
+    lost = dealt.join(salted, ["host", "line", "salt"]).groupBy("host", "text_key").agg(F.sum("words").alias("lost"), F.max(F.struct("words", "line", "docs")).alias("most"))
+    return lost.select("host", "text_key", "lost", "most.line", "most.docs")
 
 
 def depleted(n_words: Column, lost: Column) -> Column:
     return lost > LOST_SHARE * n_words
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` of a written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def depleted_texts(docs: DataFrame, lost: DataFrame, host: str = "source") -> DataFrame:
+    """``host, text_key, spared``: the depleted texts, each with the ``doc_id`` and text of the document of its group that stays, if one does."""
+    keyed = docs.select("doc_id", host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text")
+    losing = keyed.join(small(lost), ["host", "text_key"])
+    # Only the words are counted to find the depleted ones.
+    losing = losing.where(depleted(F.expr(f"CASE WHEN {TRIMMED} <> '' THEN size(split({TRIMMED}, r'{SPACE}')) ELSE 0 END"), F.col("lost")))
+    rows = materialize(with_counts(losing).select("host", "text_key", "line", "docs", "doc_id", "base_failed"), "depleted")
+    first = F.min(F.when(~F.col("base_failed"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))).alias("first")
+    held = rows.select("host", "line", "docs", "text_key").distinct().groupBy("host", "line").agg(F.count("*").alias("gone"), F.max("docs").alias("docs"))
+    copies = held.where(F.col("gone") > COPIES_SHARE * F.col("docs")).select("host", "line")
+    spared = rows.groupBy("host", "line").agg(first).join(copies, ["host", "line"]).selectExpr("host", "line", "struct(first.doc_id, first.text_key) AS spared").where("spared.text_key IS NOT NULL")
+    texts = rows.select("host", "text_key", "line").distinct()
+    return texts.join(spared, ["host", "line"], "left").select("host", "text_key", "spared")
+
+
+def _stays(doc_id: str, text_key: str) -> Column:
+    """Whether a row joined with ``depleted_texts`` is the one of its group that stays."""
+    return F.coalesce(F.col("spared").isNotNull() & F.col(doc_id).eqNullSafe(F.col("spared.doc_id")) & (F.col(text_key) == F.col("spared.text_key")), F.lit(False))
+
+
 def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """``doc_id``, the counts of ``with_counts``, ``lost_words`` and ``kept`` for each row of ``docs``.
 
     Null text has no words and fails; repeated rows stay; a null host is the empty host; other
     columns are ignored; an empty table gives an empty result.
     """
-    lost = lost_words(docs, host)
+    lost = materialize(lost_words(docs, host), "lost-words")
+    gone = small(materialize(depleted_texts(docs, lost, host), "depleted-texts"))
     keyed = docs.select("doc_id", host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text")
     counted = with_counts(keyed).drop("text")
-    joined = counted.join(lost, ["host", "text_key"], "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)))
-    kept = ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("lost_words"))
+    joined = counted.join(small(lost.select("host", "text_key", "lost")), ["host", "text_key"], "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)))
+    joined = joined.join(gone.withColumn("gone", F.lit(True)), ["host", "text_key"], "left")
+    kept = ~F.col("base_failed") & (F.col("gone").isNull() | _stays("doc_id", "text_key"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, whole and with all their columns."""
-    lost = lost_words(docs, host)
-    keyed = docs.withColumns({"_host": host_of(host), "_key": F.xxhash64("text")})
+    lost = materialize(lost_words(docs, host), "lost-words")
+    gone = small(materialize(depleted_texts(docs, lost, host), "depleted-texts"))
+    gone = gone.select(F.col("host").alias("_host"), F.col("text_key").alias("_key"), "spared", F.lit(True).alias("_gone"))
+    keyed = docs.withColumns({"_host": host_of(host), "_key": F.xxhash64("text"), "_id": F.col("doc_id")})
     counted = with_counts(keyed).where("NOT base_failed")
-    # Texts that lose words; those that lose too many for their own length go.
-    losing, _ = staged(lost.select(F.col("host").alias("_host"), F.col("text_key").alias("_key"), "lost"), "lost-words")
-    if losing.count() <= BROADCAST_ROWS:
-        losing = F.broadcast(losing)
-    joined = counted.join(losing, ["_host", "_key"], "left").where(~F.coalesce(depleted(F.col("n_words"), F.col("lost")), F.lit(False)))
+    joined = counted.join(gone, ["_host", "_key"], "left").where(F.col("_gone").isNull() | _stays("_id", "_key"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
