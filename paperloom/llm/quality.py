@@ -4,7 +4,7 @@ Only DataFrame expressions. Words are runs of characters other than ASCII white
 fails the base rules with fewer than 20 words, or if over 30 % of its words stand in windows of
 eight words that the text holds twice. Then lines are normalised (ASCII and other letters in lower
 case, inner white space as one space, ends trimmed) and hashed; a line that stands in more distinct
-documents of a host than the limit allows is boilerplate there and removed. A document that loses
+documents of a host than ``LINE_DOCS`` is boilerplate there and removed. A document that loses
 over half of its words is depleted and rejected.
 
 Documents of one host with equal texts count as one document, so copies don't make each other's
@@ -23,9 +23,10 @@ from ..plans.stage import materialize
 LEAST_WORDS = 20
 WINDOW = 8
 REPEATED_PERCENT = 30
-#: A line is boilerplate if more distinct documents of its host hold it than both of these.
+#: A line is boilerplate if more distinct documents of its host hold it, however large the host is.
 LINE_DOCS = 10
-LINE_SHARE = 0.001
+#: No share of the host counts.
+LINE_SHARE = 0.0
 #: Lines of every length count.
 LINE_WORDS = (1 << 31) - 1
 #: A document that loses more than this share of its words is depleted.
@@ -100,12 +101,10 @@ def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     return words.selectExpr("host", "text_key", "place", "xxhash64(array_join(words, ' ')) AS line", "size(words) AS words").distinct()
 
 
-def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """``host, line, docs`` of lines above the limits, from ``document_lines``."""
+def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """``host, line, docs`` of lines above the limit, from ``document_lines``."""
     per_line = lines.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
-    per_line = per_line.where(F.col("docs") > line_docs)
-    per_host = lines.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return per_line.join(per_host, "host").where(F.col("docs") > F.col("host_docs") * line_share).select("host", "line", "docs")
+    return per_line.where(F.col("docs") > line_docs)
 
 
 def lost_words(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -28,3 +28,13 @@ def test_one_of_a_group_of_near_copies_stays(spark):
     rows = [(i, f"{passages}\ncopy number {i}", "a") for i in range(3, 30)] + [(i, own_text(i), "a") for i in range(40, 45)]
     got = kept_of(spark, rows)
     assert {i for i, r in got.items() if r.kept} == {3, *range(40, 45)}
+
+
+def test_same_lines_same_verdict_in_a_larger_host(spark):
+    menu = "\n".join(f"menu entry {k} leads to the other pages" for k in range(6))
+    rows = [(i, f"{menu}\n{own_text(i, 2 if i < 5 else 12)}", "a") for i in range(20)]
+    more = [(i, own_text(i, 3), "a") for i in range(100, 25_100)]
+    few, many = kept_of(spark, rows), kept_of(spark, rows + more)
+    assert [i for i, r in few.items() if not r.kept] == [i for i in range(5)]
+    assert all(few[i] == many[i] for i in few)
+    assert all(many[i].kept for i, _, _ in more)
