@@ -7,8 +7,8 @@ case, inner white space as one space, ends trimmed) and hashed; a line that stan
 documents of a host than ``LINE_DOCS`` is boilerplate there and removed. A document that loses
 over half of its words is depleted and rejected.
 
-Documents of one host with equal texts count as one document, so copies don't make each other's
-lines frequent. A large group of near copies shares its lines too and would be rejected whole. So of
+Documents are distinct pairs of ``doc_id`` and text, so exact copies count each. A large group of
+exact or near copies shares its lines and would be rejected whole. So of
 the depleted documents that lose most by the same line (the one of most words), one stays if over half
 of the line's documents are depleted: then the line belongs to copies, not around other texts.
 """
@@ -92,18 +92,24 @@ def host_of(host: str = "source") -> Column:
 
 
 def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``host, text_key, line, words`` once for each place of a line with words in each distinct text of a host."""
+    """``host, text_key, place, line, words, copies`` once for each place of a line with words in each distinct text of a host.
+
+    ``copies`` counts the host's documents with that text.
+    """
+    copies = docs.select(host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "doc_id").distinct()
+    copies = copies.groupBy("host", "text_key").agg(F.count("*").alias("copies")).where("copies > 1")
     lines = docs.select(host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
     lines = lines.selectExpr("host", "text_key", r"posexplode(split(text, r'\n')) AS (place, raw)")
     # Splitting at white space both counts the words and normalises.
     words = lines.selectExpr("host", "text_key", "place", f"filter(split(lower(raw), r'{SPACE}'), w -> w <> '') AS words")
     words = words.where(F.size("words") > 0)
-    return words.selectExpr("host", "text_key", "place", "xxhash64(array_join(words, ' ')) AS line", "size(words) AS words").distinct()
+    words = words.selectExpr("host", "text_key", "place", "xxhash64(array_join(words, ' ')) AS line", "size(words) AS words").distinct()
+    return words.join(small(materialize(copies, "copies")), ["host", "text_key"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
 def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
     """``host, line, docs`` of lines above the limit, from ``document_lines``."""
-    per_line = lines.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+    per_line = lines.select("host", "line", "text_key", "copies").distinct().groupBy("host", "line").agg(F.sum("copies").alias("docs"))
     return per_line.where(F.col("docs") > line_docs)
 
 
@@ -134,7 +140,7 @@ def depleted_texts(docs: DataFrame, lost: DataFrame, host: str = "source") -> Da
     losing = losing.where(depleted(F.expr(f"CASE WHEN {TRIMMED} <> '' THEN size(split({TRIMMED}, r'{SPACE}')) ELSE 0 END"), F.col("lost")))
     rows = materialize(with_counts(losing).select("host", "text_key", "line", "docs", "doc_id", "base_failed"), "depleted")
     first = F.min(F.when(~F.col("base_failed"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))).alias("first")
-    held = rows.select("host", "line", "docs", "text_key").distinct().groupBy("host", "line").agg(F.count("*").alias("gone"), F.max("docs").alias("docs"))
+    held = rows.select("host", "line", "docs", "text_key", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("gone"), F.max("docs").alias("docs"))
     copies = held.where(F.col("gone") > COPIES_SHARE * F.col("docs")).select("host", "line")
     spared = rows.groupBy("host", "line").agg(first).join(copies, ["host", "line"]).selectExpr("host", "line", "struct(first.doc_id, first.text_key) AS spared").where("spared.text_key IS NOT NULL")
     texts = rows.select("host", "text_key", "line").distinct()

@@ -38,3 +38,10 @@ def test_same_lines_same_verdict_in_a_larger_host(spark):
     assert [i for i, r in few.items() if not r.kept] == [i for i in range(5)]
     assert all(few[i] == many[i] for i in few)
     assert all(many[i].kept for i, _, _ in more)
+
+
+def test_copies_count_as_documents(spark):
+    rows = [(i, f"{own_text(0)}\nline of text {i % 2}", "a") for i in range(4, 24)] + [(1, own_text(1), "a"), (2, own_text(0), "a"), (4, f"{own_text(0)}\nline of text 0", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.docs for r in quality.frequent_lines(quality.document_lines(docs)).collect()} == {21}
+    assert {i for i, r in kept_of(spark, rows).items() if r.kept} == {1, 2}
