@@ -192,9 +192,10 @@ SELECT count(*) AS num_gold, count(*) FILTER (hit) AS num_hits, round(count(*) F
 round(count(*) FILTER (t) / count(*) FILTER (hit), 6) AS threshold_accuracy, round(count(*) FILTER (k) / count(*) FILTER (hit), 6) AS covenant_type_accuracy FROM g""")
 def gold_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(True).alias("hit"))
+    n_extracted = docs.count()
     found = table(spark, sf_dir, "labels").join(docs, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     found = found.withColumn("threshold_ok", F.coalesce(F.col("n_chars") > 1000, F.lit(False))).withColumn("type_ok", F.col("hit") & (F.col("quality") == 1))
-    scores = audit.match_scores(found, 1000)
+    scores = audit.match_scores(found, n_extracted)
     return scores.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in scores.dtypes])
 
 

@@ -1,0 +1,10 @@
+"""Precision of gold_match_score at sizes other than sf0.01."""
+
+from paperloom.operators.catalogue import QUERIES
+
+
+def test_precision_counts_the_extracted_rows(spark, tmp_path):
+    spark.createDataFrame([(i, 900 + 100 * i) for i in range(8)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1), (2, 0), (99, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    (row,) = QUERIES["gold_match_score"](spark, str(tmp_path)).collect()
+    assert (row.num_gold, row.num_hits, row.recall, row.precision) == (3, 2, 0.666667, 0.25)
