@@ -45,3 +45,9 @@ def test_copies_count_as_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert {r.docs for r in quality.frequent_lines(quality.document_lines(docs)).collect()} == {21}
     assert {i for i, r in kept_of(spark, rows).items() if r.kept} == {1, 2}
+
+
+def test_clean_texts_drop_boilerplate_lines(spark):
+    rows = [(i, f"{LICENCE}\n{own_text(i)}\n\nlast {i}", "a") for i in range(12)] + [(20, LICENCE, "a"), (21, LICENCE, None), (22, None, "a")]
+    got = {r.doc_id: r.clean_text for r in quality.clean_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: f"{own_text(i)}\n\nlast {i}" for i in range(12)} | {20: "", 21: LICENCE, 22: None}
