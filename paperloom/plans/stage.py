@@ -39,16 +39,28 @@ def staged(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the shared folder and read back with its schema; and the path."""
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``staged`` for tables that stay until the job ends."""
+    """``staged`` for tables that stay until the driver's JVM ends."""
     return staged(df, tag)[0]
 
 
+def _located(spark: SparkSession, path: str):
+    """Hadoop's path and its file system, in whatever store it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a written path deleted when the driver's JVM ends: results that read it live until then."""
+    where, files = _located(spark, path)
+    files.deleteOnExit(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path in whatever store it lies."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Deletes a path."""
+    where, files = _located(spark, path)
+    files.delete(where, True)
