@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stage import fresh_path, remove
+from ..plans.stage import fresh_path, remove, remove_at_exit
 from .wordids import END_ID, encoded
 
 WINDOW = 16
@@ -159,14 +159,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int
     in_order.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/ordered")
     ordered = spark.read.schema("doc_id long, n_tokens long, root binary, hashes binary, sizes binary, part int").parquet(f"{path}/ordered")
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
-    # One row per recipe file.
+    # One row per recipe file: its number and its count of ids.
     first = parts.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_start"))
     before = Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
     placed = ordered.withColumn("within", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(first, "part")
     placed = placed.select("part", "doc_id", (F.col("first_start") + F.col("within")).alias("start"), "n_tokens", "root", "hashes", "sizes")
     placed.sortWithinPartitions("part", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    manifests = spark.read.schema(RECIPES).parquet(f"{path}/recipes").groupBy("part")
-    manifests.applyInArrow(_manifest, MANIFEST).write.parquet(f"{path}/manifest")
+    _manifests(spark, path).write.parquet(f"{path}/manifest")
     spark.createDataFrame([(2 if vocabulary <= 1 << 16 else 4, vocabulary)], "width int, vocabulary long").coalesce(1).write.parquet(f"{path}/format")
     remove(spark, f"{path}/ordered")
     remove(spark, f"{raw}/is_chunk=false")
@@ -185,6 +184,16 @@ def _manifest(table: pa.Table) -> pa.Table:
     )
 
 
+def _manifests(spark: SparkSession, path: str) -> DataFrame:
+    """What the recipe files hold; of a recipe only its place, its length and its root are read."""
+    return spark.read.schema("part int, start long, n_tokens long, root binary").parquet(f"{path}/recipes").groupBy("part").applyInArrow(_manifest, MANIFEST)
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """``name, body`` of the stored chunks; none in the store of an empty table."""
+    return spark.read.schema("name binary, body binary, is_chunk boolean").parquet(f"{path}/content").where("is_chunk").select("name", "body")
+
+
 RECIPES = "part int, doc_id long, start long, n_tokens long, root binary, hashes binary, sizes binary"
 MANIFEST = "part int, documents long, tokens long, first_start long, root binary"
 
@@ -243,8 +252,7 @@ def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["name", "n", "crc"])
 
-    chunks = spark.read.schema("name binary, body binary").parquet(f"{path}/content/is_chunk=true")
-    return chunks.mapInArrow(digest, "name binary, n long, crc long")
+    return _chunks(spark, path).mapInArrow(digest, "name binary, n long, crc long")
 
 
 ENTRIES = "doc_id long, start long, n_tokens long, seq int, name binary, size long, after long"
@@ -273,7 +281,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def recipe_entries(spark: SparkSession, path: str) -> DataFrame:
     """One row for each chunk of each document, after the manifests of the recipe files were verified."""
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    there = recipes.groupBy("part").applyInArrow(_manifest, MANIFEST)
+    there = _manifests(spark, path)
     written = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     if wrong := there.exceptAll(written).union(written.exceptAll(there)).select("part").head(5):
         raise BrokenStore(f"recipe files that don't agree with their manifests: {sorted({r.part for r in wrong})}")
@@ -310,8 +318,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         ids = np.frombuffer(b"".join(bodies), f"<u{width}").astype(np.int64)
         return pa.table({"doc_id": pa.array([key[1].as_py()], pa.int64()), "start": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))})
 
-    chunks = spark.read.schema("name binary, body binary").parquet(f"{path}/content/is_chunk=true")
-    content = chunks.withColumn("n", F.expr(f"octet_length(body) div {width}"))
+    content = _chunks(spark, path).withColumn("n", F.expr(f"octet_length(body) div {width}"))
     found = _with_content(recipe_entries(spark, path), content)
     return found.groupBy("start", "doc_id").applyInArrow(join, "doc_id long, start long, ids array<long>")
 
@@ -321,4 +328,5 @@ def stored_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spark = docs.sparkSession
     path = fresh_path(spark, "token-store")
     write_store(docs, path, tokenizer_path)
+    remove_at_exit(spark, path)
     return read_digests(spark, path)

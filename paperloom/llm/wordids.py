@@ -22,6 +22,10 @@ SLICE_BYTES = 2 << 20
 CACHE_WORDS = 300_000
 #: Words that go to the library in one text.
 JOINED_WORDS = 200
+#: Final marks that are cut from words before they are looked up.
+MARKS = ".,"
+#: Code points below this may stand before a mark that is cut, if the library agrees.
+ENDS = 0x250
 
 
 def byte_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -51,7 +55,8 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         (self.digit,) = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.marks = {"": b""} | {c: self._library([c])[0] for c in ".,"}
+        self.marks = {"": b""} | {c: self._library([c])[0] for c in MARKS}
+        self.ends = self._plain_ends()
 
     def _library(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from the library.
@@ -77,15 +82,30 @@ class WordIds:
                 out[i] = raw[x:y]
         return out
 
-    @staticmethod
-    def _core(word: str) -> tuple[str, str]:
+    def _plain_ends(self) -> frozenset[str]:
+        """Letters before which the library tells a mark from the word.
+
+        Not every letter is one: lower-casing may leave a combining mark that joins the one behind it.
+        So each is asked for, alone and after a letter.
+        """
+        letters = [c for c in map(chr, range(ENDS)) if c.isalpha()]
+        words = [b + c for c in letters for b in ("", "a")]
+        ids = self._library(words)
+        apart = set(letters)
+        for mark in MARKS:
+            for word, own, marked in zip(words, ids, self._library([w + mark for w in words]), strict=True):
+                if marked != own + self.marks[mark]:
+                    apart.discard(word[-1])
+        return frozenset(apart)
+
+    def _core(self, word: str) -> tuple[str, str]:
         """The word without a final full stop or comma, and that mark.
 
-        Both are runs of their own for the pre-tokenizer if a letter stands before the mark. ASCII
-        letters are lower-cased as the library would do; other words are left to it.
+        Both are runs of their own for the pre-tokenizer if one of ``ends`` stands before the mark.
+        ASCII letters are lower-cased as the library would do; other words are left to it.
         """
         mark = ""
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "ɐ":
+        if len(word) > 1 and word[-1] in MARKS and word[-2] in self.ends:
             word, mark = word[:-1], word[-1]
         return (word.lower() if word.isascii() and "<|" not in word else word), mark
 
