@@ -12,23 +12,29 @@ and numbered. What comes to the driver is bounded by the number of candidates.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.skew import free_name
 from ..plans.stage import materialize
 
 SHARDS = 24
-#: Parts of a shard that are sorted and numbered by tasks of their own.
-PARTS = 8
+#: Rows of a part of a shard, and text bytes of a part of a written shard: each is sorted by a task of its own.
+LEAST_PARTS = 8
+PART_ROWS = 1_000_000
+PART_BYTES = 256 << 20
 #: How far a shard's border may be from its target, as a share of a shard's bytes.
 TOLERANCE = 0.002
 #: The same for borders between the parts of a shard, as a share of a part's bytes.
 PART_TOLERANCE = 0.1
-#: Candidates in each interval that is still open.
+#: Candidates in each interval that is still open, at most, and in all of them together.
 PROBES = 64
+ALL_PROBES = 1 << 18
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -80,7 +86,7 @@ def _count(rows: DataFrame, groups: dict[int | None, list[int]]) -> dict[tuple[i
     return {(names[r["g"]], r["i"]): r["bytes"] for r in found.collect()}
 
 
-def splitters(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> list[tuple[int, int]]:
+def splitters(rows: DataFrame, shards: int = SHARDS, parts: int = 1) -> list[tuple[int, int]]:
     """The ``shards * parts - 1`` least places ``(k, d)`` of all parts but the first, ascending.
 
     ``rows`` should be a written table: every round reads it.
@@ -95,8 +101,10 @@ def splitters(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> list
         return [(HIGH, HIGH)] * len(targets)
     while open_:
         groups: dict[int | None, set[int]] = {}
-        for g, low, high, _ in set(open_.values()):
-            many = 16 * PROBES if high - low > 1 << 62 else PROBES
+        intervals = set(open_.values())
+        each = max(3, min(PROBES, ALL_PROBES // len(intervals)))
+        for g, low, high, _ in intervals:
+            many = 16 * PROBES if high - low > 1 << 62 else each
             groups.setdefault(g, set()).update([low, *_cuts(low, high, many), *([high + 1] if high < HIGH else [])])
         candidates = {g: sorted(v - {LOW}) for g, v in groups.items()}
         counts = _count(rows, candidates)
@@ -125,7 +133,7 @@ def splitters(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> list
                 open_[i] = (start, LOW, HIGH, at)  # inside one group of equal texts
             else:
                 open_[i] = (g, start, end, at)
-    return [max(found[j] for j in range(i + 1)) for i in range(len(targets))]
+    return list(accumulate((found[i] for i in range(len(targets))), max))
 
 
 def parts_of(k: np.ndarray, d: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
@@ -139,42 +147,60 @@ def parts_of(k: np.ndarray, d: np.ndarray, cuts: list[tuple[int, int]]) -> np.nd
     return out.astype(np.int32)
 
 
-def with_parts(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` (with ``k, d``) and ``part``, the number of the part that a row goes to."""
+def with_parts(rows: DataFrame, cuts: list[tuple[int, int]], first: np.ndarray | None = None, k: str = "k", d: str = "d", part: str = "part") -> DataFrame:
+    """``rows`` (with ``k, d``) and ``part``, the number of the part that a row goes to; with ``first`` also ``before``, its value for the part."""
     names = rows.columns
-    at_k, at_d = names.index("k"), names.index("d")
+    at_k, at_d = names.index(k), names.index(d)
+    shared = rows.sparkSession.sparkContext.broadcast((cuts, first))
+    made = [part, "before"] if first is not None else [part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, first = shared.value
         for batch in batches:
-            k, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in (at_k, at_d))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts_of(k, d, cuts))], [*names, "part"])
+            of = parts_of(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (at_k, at_d)), cuts)
+            new = [pa.array(of)] if first is None else [pa.array(of), pa.array(first[of])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, *made])
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{fields}, part int")
+    kinds = [T.StructField(n, t) for n, t in zip(made, (T.IntegerType(), T.LongType()), strict=False)]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *kinds]))
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, parts: int | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of each row of ``docs(doc_id, text)``.
 
     ``slot`` runs from 0 without gaps over each shard, in the order of the sort. Null text has no
     bytes; repeated rows each get a slot (rows alike in text and id aren't divided between shards);
-    other columns are ignored; an empty table gives an empty result.
+    other columns are ignored; an empty table gives an empty result. ``parts`` of a shard follow from
+    the number of rows unless given; they decide who sorts, not what comes out.
     """
     rows = materialize(keyed(docs), "shard-keys")
-    dealt = with_parts(rows, splitters(rows, shards, parts))
-    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before = []
+    parts = parts or max(LEAST_PARTS, -(-rows.count() // (shards * PART_ROWS)))
+    cuts = splitters(rows, shards, parts)
+    # One row for each part.
+    counts = {r["part"]: r["n"] for r in with_parts(rows, cuts).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before = np.zeros(shards * parts, np.int64)
     for p in range(shards * parts):
-        before.append(0 if p % parts == 0 else before[-1] + counts.get(p - 1, 0))
+        before[p] = 0 if p % parts == 0 else before[p - 1] + counts.get(p - 1, 0)
+    dealt = with_parts(rows, cuts, before)
     order = Window.partitionBy("part").orderBy("k", "d", "size")
-    slot = F.element_at(F.lit(before).cast("array<long>"), F.col("part") + 1) + F.row_number().over(order) - 1
+    slot = F.col("before") + F.row_number().over(order) - 1
     return dealt.select("doc_id", "size", "text_crc32", F.floor(F.col("part") / parts).cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, parts: int = PARTS) -> None:
-    """Writes whole rows of ``docs`` as Parquet under ``path/shard=N``, sorted, after one exchange."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, parts: int | None = None, shard: str = "shard") -> None:
+    """Writes whole rows of ``docs`` as Parquet under ``path/shard=N``, sorted, after one exchange.
+
+    All columns of ``docs`` are written; one that is named like ``shard`` (in any case) is an error,
+    since the folders have that name. Nulls, repeated rows and empty tables as in ``shard_rows``.
+    """
+    if shard.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {shard}; give another name for the folders")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialize(keyed(docs).select("k", "d", "size"), "shard-keys")
-    whole = docs.withColumns({"k": F.xxhash64(text), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))})
-    dealt = with_parts(whole, splitters(rows, shards, parts)).withColumn("shard", F.floor(F.col("part") / parts).cast("int"))
-    dealt.repartition(shards * parts, "part").sortWithinPartitions("shard", "part", "k", "d").drop("k", "d", "part").write.partitionBy("shard").parquet(path)
+    if parts is None:
+        total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+        parts = max(LEAST_PARTS, -(-total // (shards * PART_BYTES)))
+    k, d, part = (free_name([*docs.columns, shard], n) for n in ("k", "d", "part"))
+    whole = docs.withColumns({k: F.xxhash64(text), d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))})
+    dealt = with_parts(whole, splitters(rows, shards, parts), k=k, d=d, part=part).withColumn(shard, F.floor(F.col(part) / parts).cast("int"))
+    dealt.repartition(shards * parts, part).sortWithinPartitions(shard, part, k, d).drop(k, d, part).write.partitionBy(shard).parquet(path)
