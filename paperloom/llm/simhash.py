@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
+from ..plans.skew import join_by_key, small
 from ..plans.stage import materialize, staged
 from .wordids import byte_slices
 
@@ -33,12 +34,8 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints in a table entry up to which they are compared one by one.
 CROWD = 32
-#: Crowded entries (8 bytes each) up to which they are broadcast; above, they are joined.
-BROADCAST_KEYS = 500_000
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
-#: Stands for a null doc_id in joins.
-NO_ID = -(1 << 63)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -90,8 +87,7 @@ def near_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links ``a, b`` between fingerprints of ``distinct(fp)`` that give all components at radius two."""
     entries = distinct.selectExpr("fp", ENTRIES)
     crowded, _ = staged(entries.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("entry"), "crowded")
-    if crowded.count() <= BROADCAST_KEYS:
-        crowded = F.broadcast(crowded)
+    crowded = small(crowded)
     few = entries.join(crowded, "entry", "left_anti").groupBy("entry").agg(F.collect_list("fp").alias("there"))
     lookups = distinct.selectExpr("fp", LOOKUPS)
     found = lookups.join(crowded, "entry", "left_anti").join(few, "entry")
@@ -111,7 +107,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, crowd
     most two bits, itself included. Null text counts as empty; documents without words have
     fingerprint zero and are linked like others. A null ``doc_id`` is never the smallest (a
     component of such rows alone has a null id). Repeated rows all come back; other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. The many rows of one fingerprint are dealt to all
+    tasks when they get their component.
     """
     rows = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -120,7 +117,8 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, crowd
     least = linked.groupBy("component").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "component").select("fp", "component", "least_id")
     groups = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group_fp"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(groups, "fp").select("doc_id", "text_key", "fp", "group_fp", "component_id")
+    joined = join_by_key(rows, materialize(groups, "groups"), ["fp"], ["doc_id", "text_key"])
+    return joined.select("doc_id", "text_key", "fp", "group_fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -131,18 +129,31 @@ def hex_fingerprint(fp: str = "fp"):
 def keep_first(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest ``doc_id``.
 
-    Of rows that share that id (repeated rows, or rows of a component that has only null ids) the
-    one with the least text hash stays, once. All columns stay.
+    Of rows that share that id the one with the least text hash stays; of rows alike in id and text
+    one stays. A null id comes last. All columns stay as they are, whatever their names; an empty
+    table gives an empty result.
     """
     return first_of_groups(docs, near_groups(docs, **params))
 
 
 def first_of_groups(docs: DataFrame, rows: DataFrame, group: str = "group_fp", text: str | Column = "text") -> DataFrame:
-    """The first of each ``group`` of ``rows(doc_id, text_key)``, whose key hashes ``text``, out of ``docs``."""
-    # Nulls come last in the order of structs.
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    first = rows.groupBy(group).agg(F.min(order).alias("first")).select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("_id"), F.col("first.text_key").alias("_text")).distinct()
-    known = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": F.xxhash64(text)})
-    own = Window.partitionBy("_id", "_text").orderBy("_id", "_text")
-    kept = known.join(first, ["_id", "_text"]).withColumn("_nth", F.row_number().over(own)).where("_nth = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The first of each ``group`` of ``rows(doc_id, text_key)``, whose key hashes ``text``, out of ``docs``.
+
+    Only the keys of rows that go, or of rows that stay and are repeated, meet the documents: few
+    enough keys are broadcast, and then no text is exchanged.
+    """
+    keys = ["_none", "_id", "_text"]
+    id_parts = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    held = rows.withColumns({**id_parts, "_text": F.col("text_key")}).groupBy(group, *keys).agg(F.count("*").alias("n"))
+    held = materialize(held, "held")
+    first = materialize(held.groupBy(group).agg(F.min(F.struct(*keys)).alias("first")), "first-of-groups")
+    marked = join_by_key(held, first, [group], keys).withColumn("stays", F.struct(*keys) == F.col("first"))
+    marked = materialize(marked.where("NOT stays OR n > 1").select(*keys, "stays"), "marked")
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("_text"), *[c.alias(n) for n, c in id_parts.items()])
+    kept = known.join(small(marked), keys, "left").where("stays IS NULL").select("row")
+    repeated = marked.where("stays")
+    if repeated.count():
+        # Alike in id and text: one of them, combined before the exchange.
+        once = known.join(small(repeated), keys).groupBy(*keys).agg(F.first("row").alias("row"))
+        kept = kept.union(once.select("row"))
+    return kept.select("row.*")
