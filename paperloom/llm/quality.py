@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import join_by_key, small
 from ..plans.stage import materialize
 
 LEAST_WORDS = 20
@@ -25,19 +26,14 @@ WINDOW = 8
 REPEATED_PERCENT = 30
 #: A line is boilerplate if more distinct documents of its host hold it, however large the host is.
 LINE_DOCS = 10
-#: No share of the host counts.
-LINE_SHARE = 0.0
-#: Lines of every length count.
-LINE_WORDS = (1 << 31) - 1
 #: A document that loses more than this share of its words is depleted.
 LOST_SHARE = 0.5
 #: One of a line's depleted documents stays if they are more than this share of its documents.
 COPIES_SHARE = 0.5
 #: Tasks that a line's rows are dealt to in the join.
 SALTS = 16
-#: Rows (16 bytes each) up to which a table is broadcast; above, it is joined by exchange.
-BROADCAST_ROWS = 200_000
 
+KEYS = ["host", "text_key"]
 SPACE = r"[\x20\x09-\x0D]+"
 TRIMMED = r"btrim(text, ' \t\n\u000B\u000C\r')"
 
@@ -127,24 +123,19 @@ def depleted(n_words: Column, lost: Column) -> Column:
     return lost > LOST_SHARE * n_words
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` of a written table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def depleted_texts(docs: DataFrame, lost: DataFrame, host: str = "source") -> DataFrame:
     """``host, text_key, spared``: the depleted texts, each with the ``doc_id`` and text of the document of its group that stays, if one does."""
     keyed = docs.select("doc_id", host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text")
-    losing = keyed.join(small(lost), ["host", "text_key"])
+    losing = join_by_key(keyed, lost, KEYS, ["doc_id"], "inner", keyed.select(*KEYS))
     # Only the words are counted to find the depleted ones.
     losing = losing.where(depleted(F.expr(f"CASE WHEN {TRIMMED} <> '' THEN size(split({TRIMMED}, r'{SPACE}')) ELSE 0 END"), F.col("lost")))
-    rows = materialize(with_counts(losing).select("host", "text_key", "line", "docs", "doc_id", "base_failed"), "depleted")
+    rows = materialize(with_counts(losing).select(*KEYS, "line", "docs", "doc_id", "base_failed"), "depleted")
     first = F.min(F.when(~F.col("base_failed"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))).alias("first")
     held = rows.select("host", "line", "docs", "text_key", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("gone"), F.max("docs").alias("docs"))
     copies = held.where(F.col("gone") > COPIES_SHARE * F.col("docs")).select("host", "line")
     spared = rows.groupBy("host", "line").agg(first).join(copies, ["host", "line"]).selectExpr("host", "line", "struct(first.doc_id, first.text_key) AS spared").where("spared.text_key IS NOT NULL")
-    texts = rows.select("host", "text_key", "line").distinct()
-    return texts.join(spared, ["host", "line"], "left").select("host", "text_key", "spared")
+    texts = materialize(rows.select(*KEYS, "line").distinct(), "depleted-keys")
+    return join_by_key(texts, materialize(spared, "spared"), ["host", "line"], ["text_key"]).select(*KEYS, "spared")
 
 
 def _stays(doc_id: str, text_key: str) -> Column:
@@ -159,34 +150,43 @@ def verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     lost = materialize(lost_words(docs, host), "lost-words")
-    gone = small(materialize(depleted_texts(docs, lost, host), "depleted-texts"))
+    gone = materialize(depleted_texts(docs, lost, host).withColumn("gone", F.lit(True)), "depleted-texts")
     keyed = docs.select("doc_id", host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text")
-    counted = with_counts(keyed).drop("text")
-    joined = counted.join(small(lost.select("host", "text_key", "lost")), ["host", "text_key"], "left").withColumn("lost_words", F.coalesce("lost", F.lit(0)))
-    joined = joined.join(gone.withColumn("gone", F.lit(True)), ["host", "text_key"], "left")
+    light = keyed.select(*KEYS)
+    joined = join_by_key(with_counts(keyed).drop("text"), lost.select(*KEYS, F.col("lost").alias("lost_words")), KEYS, ["doc_id"], counted=light)
+    joined = join_by_key(joined, gone, KEYS, ["doc_id"], counted=light).withColumn("lost_words", F.coalesce("lost_words", F.lit(0)))
     kept = ~F.col("base_failed") & (F.col("gone").isNull() | _stays("doc_id", "text_key"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, whole and with all their columns."""
+    """The rows of ``docs`` that the rules keep, whole and with all their columns, whatever their names.
+
+    Nulls, repeated rows and empty tables as in ``verdicts``.
+    """
     lost = materialize(lost_words(docs, host), "lost-words")
-    gone = small(materialize(depleted_texts(docs, lost, host), "depleted-texts"))
-    gone = gone.select(F.col("host").alias("_host"), F.col("text_key").alias("_key"), "spared", F.lit(True).alias("_gone"))
-    keyed = docs.withColumns({"_host": host_of(host), "_key": F.xxhash64("text"), "_id": F.col("doc_id")})
-    counted = with_counts(keyed).where("NOT base_failed")
-    joined = counted.join(gone, ["_host", "_key"], "left").where(F.col("_gone").isNull() | _stays("_id", "_key"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialize(depleted_texts(docs, lost, host).withColumn("gone", F.lit(True)), "depleted-texts")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, "doc_id", host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "text")
+    counted = with_counts(keyed).where("NOT base_failed").select("row", "doc_id", *KEYS)
+    joined = join_by_key(counted, gone, KEYS, ["doc_id"], counted=keyed.select(*KEYS))
+    return joined.where(F.col("gone").isNull() | _stays("doc_id", "text_key")).select("row.*")
 
 
 def clean_texts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``docs`` with ``clean_text``: the text without its boilerplate lines (null stays null)."""
+    """``docs`` with ``clean_text``: the text without its boilerplate lines (null stays null).
+
+    A column ``clean_text`` of ``docs`` is replaced, all others stay; a null host is the empty host;
+    repeated rows stay; an empty table gives an empty result.
+    """
     lines = materialize(document_lines(docs, host), "lines")
     salted = frequent_lines(lines).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = lines.withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.lit(SALTS)).cast("int"))
     # The places of one text's own lines.
-    gone = dealt.join(salted, ["host", "line", "salt"]).groupBy("host", "text_key").agg(F.collect_set("place").alias("gone"))
-    gone = gone.select(F.col("host").alias("_host"), F.col("text_key").alias("_key"), "gone")
-    keyed = docs.drop("clean_text").withColumns({"_host": host_of(host), "_key": F.xxhash64("text")}).join(gone, ["_host", "_key"], "left")
-    left = r"CASE WHEN gone IS NULL THEN text ELSE array_join(filter(split(text, r'\n'), (l, i) -> NOT array_contains(gone, i)), '\n') END"
-    return keyed.withColumn("clean_text", F.expr(left)).drop("_host", "_key", "gone")
+    gone = dealt.join(salted, ["host", "line", "salt"]).groupBy(*KEYS).agg(F.collect_set("place").alias("gone"))
+    others = docs.drop("clean_text")
+    row = F.struct(*[F.col(f"`{c}`") for c in others.columns]).alias("row")
+    keyed = others.select(row, host_of(host).alias("host"), F.xxhash64("text").alias("text_key"), "doc_id")
+    found = join_by_key(keyed, materialize(gone, "gone-lines"), KEYS, ["doc_id"], counted=keyed.select(*KEYS))
+    left = r"CASE WHEN gone IS NULL THEN row.text ELSE array_join(filter(split(row.text, r'\n'), (l, i) -> NOT array_contains(gone, i)), '\n') END"
+    return found.selectExpr("row.*", f"{left} AS clean_text")
