@@ -1,6 +1,6 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
-Features say which byte n-grams (ASCII letters lower-cased, white space as one space, one at each
+Features say which byte n-grams (ASCII letters lower-cased, each white space as a space, one at each
 end) a whole text has, hashed into ``2**BITS`` buckets. Each is scaled by its naive Bayes log-count
 ratio between the classes, and logistic regression with an L2 penalty is fitted over the scaled
 features. The features are counted on the executors; the driver only sees those that chi-squared
@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.skew import free_name
 from ..plans.stage import materialize
 from .wordids import byte_slices
 
@@ -37,7 +39,7 @@ SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 def ngram_buckets(text: str | None) -> Iterator[np.ndarray]:
     """The bucket of each n-gram of a whole text, repeats included, in arrays of bounded length."""
-    raw = b" " + b" ".join((text or "").encode().lower().translate(SPACE).split(b" ")) + b" "
+    raw = b" " + (text or "").encode().lower().translate(SPACE) + b" "
     whole = np.frombuffer(raw, np.uint8)
     for start in range(0, len(whole), STRETCH):
         b = whole[start : start + STRETCH + max(ORDERS) - 1].astype(np.uint64)
@@ -77,14 +79,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> DataFrame:
     """``text, y`` of at most ``most`` labelled documents that aren't held out.
 
-    Labels other than 0 and 1 and null ids are left out; of repeated labels the larger counts.
+    Labels other than 0 and 1 and null ids are left out; of repeated labels the larger counts, and of
+    rows that share an id the least text, so the bound holds for any input.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     usable = usable.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most ``most`` rows of 12 bytes.
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def fit(sample: DataFrame, features: int = FEATURES, penalty: float = PENALTY, steps: int = STEPS) -> Model:
@@ -156,11 +159,15 @@ def logistic(x: np.ndarray, ends: np.ndarray, scale: np.ndarray, y: np.ndarray,
     return w, b
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from one half on); null text counts as empty."""
+def score_documents(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from one half on); null text counts as empty.
+
+    Columns of ``docs`` that have one of the two names are replaced; all others stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    at = names.index("text")
+    fields = [f for f in docs.schema if f.name.lower() not in (score.lower(), predicted.lower())]
+    names = [f.name for f in fields]
+    at = [n.lower() for n in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -168,10 +175,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in byte_slices(batch.column(at)):
                 part = batch.slice(a, b - a)
                 scores = [model.score(t) for t in part.column(at).to_numpy(zero_copy_only=False).tolist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, score, predicted])
+
+    schema = T.StructType([*fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{fields}, score double, predicted int")
+def not_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't call toxic, with all their columns as they are."""
+    score, predicted = free_name(docs.columns, "score"), free_name(docs.columns, "predicted")
+    return score_documents(docs, model, score, predicted).where(F.col(predicted) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
