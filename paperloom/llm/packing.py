@@ -7,8 +7,8 @@ histogram of lengths (at most ``capacity`` numbers, whatever the input's size).
 over remaining capacities finds the tightest open sequence in logarithmic time; a run of equal
 pieces that meets a run of equally full sequences is placed at once, which gives what placing them
 one by one would give. Pieces then take their place in the plan by their rank among the pieces of
-their length, which is counted in salted groups: a length that a third of all rows share is still
-dealt to many tasks.
+their length, which is counted in groups of about ``GROUP`` pieces: a length that most pieces share
+is dealt to as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.skew import free_name
 from ..plans.stage import materialize
 from .wordids import END_ID, encoded
 
 CAPACITY = 4096
-#: Groups into which the pieces of one length are dealt for ranking.
-SALTS = 64
+#: Pieces of one length that are ranked together, on average, once the length has ``SALTS`` groups.
+GROUP = 50_000
+#: Groups of a length up to which they may be smaller, down to ``LEAST_GROUP`` pieces.
+SALTS, LEAST_GROUP = 64, 500
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -124,54 +128,71 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def groups_of(n: int, group: int = GROUP) -> int:
+    """Into how many groups the ``n`` pieces of a length are dealt for ranking."""
+    return max(min(SALTS, -(-n // LEAST_GROUP)), -(-n // group))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
-    Needs ``doc_id, piece, length``; other columns stay. Equal rows (one document given twice) each
-    get a place of their own; a null ``doc_id`` is a document like any other. Lengths from 1 to
-    ``capacity``; an empty table gives an empty table.
+    Needs ``doc_id, piece, length``; other columns stay, except that ``sequence_id`` and ``offset``
+    are replaced. Equal rows (one document given twice) each get a place of their own; a null
+    ``doc_id`` is a document like any other. Lengths from 1 to ``capacity``; an empty table gives an
+    empty table.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    written = materialize(salted, "pieces")
-    # At most capacity * salts rows, whatever the input.
-    counts = written.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").toPandas()
-    histogram: dict[int, int] = {}
-    firsts = []
-    for length, n in zip(counts["length"].tolist(), counts["n"].tolist(), strict=True):
-        firsts.append(histogram.get(length, 0))
-        histogram[length] = histogram.get(length, 0) + n
-    plan = best_fit_plan(histogram, capacity)
-    first_rank = np.zeros((capacity + 1, salts), np.int64)
-    first_rank[counts["length"].to_numpy(np.int64), counts["salt"].to_numpy(np.int64)] = firsts
+    pieces = pieces.drop("sequence_id", "offset")
+    written = materialize(pieces, "pieces")
+    salt, rank = free_name(pieces.columns, "salt"), free_name(pieces.columns, "rank_in_group")
+    # At most ``capacity`` rows.
+    sizes = {r["length"]: r["n"] for r in written.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    dealt = F.broadcast(spark.createDataFrame([(n, groups_of(c, group)) for n, c in sorted(sizes.items())], "length long, groups int"))
+    spread = F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups")).cast("int")
+    salted = written.join(dealt, "length").withColumn(salt, spread).select(*[F.col(f"`{c}`") for c in pieces.columns], salt)
+    # One row for each group: at most ``capacity * SALTS`` and one for each ``group`` pieces.
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias("n")).orderBy("length", salt).toPandas()
+    plan = best_fit_plan(sizes, capacity)
+    # The groups of a length stand one after the other from its base; each with the rank of its first piece.
+    bases = np.zeros(capacity + 2, np.int64)
+    for n, c in sizes.items():
+        bases[n + 1] = groups_of(c, group)
+    bases = np.cumsum(bases)
+    first_rank = np.zeros(int(bases[-1]), np.int64)
+    lengths = counts["length"].to_numpy(np.int64)
+    held = np.cumsum(counts["n"].to_numpy(np.int64)) - counts["n"].to_numpy(np.int64)
+    first_rank[bases[lengths] + counts[salt].to_numpy(np.int64)] = held - held[np.searchsorted(lengths, lengths)]
     order = sorted(range(len(plan)), key=lambda i: plan[i][:2])
     table = np.array([plan[i] for i in order], np.int64).reshape(-1, 5)
     bounds = np.searchsorted(table[:, 0], np.arange(capacity + 2))
-    shared = spark.sparkContext.broadcast((first_rank, table[:, 1].copy(), table[:, 3].copy(), table[:, 4].copy(), bounds))
+    shared = spark.sparkContext.broadcast((bases, first_rank, table[:, 1].copy(), table[:, 3].copy(), table[:, 4].copy(), bounds))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_rank, ranks, sequences, offsets, bounds = shared.value
+        bases, first_rank, ranks, sequences, offsets, bounds = shared.value
         for batch in batches:
             cols = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)}
             length = cols["length"].to_numpy(zero_copy_only=False).astype(np.int64)
-            salt = cols["salt"].to_numpy(zero_copy_only=False)
-            rank = first_rank[length, salt] + cols["rank_in_group"].to_numpy(zero_copy_only=False) - 1
+            of_length = first_rank[bases[length] + cols[salt].to_numpy(zero_copy_only=False)] + cols[rank].to_numpy(zero_copy_only=False) - 1
             at = np.empty(len(length), np.int64)
             for n in np.unique(length).tolist():
                 own = length == n
-                at[own] = bounds[n] + np.searchsorted(ranks[bounds[n] : bounds[n + 1]], rank[own], "right") - 1
-            kept = [(k, c) for k, c in cols.items() if k not in ("salt", "rank_in_group")]
+                at[own] = bounds[n] + np.searchsorted(ranks[bounds[n] : bounds[n + 1]], of_length[own], "right") - 1
+            kept = [(k, c) for k, c in cols.items() if k not in (salt, rank)]
             yield pa.RecordBatch.from_arrays(
-                [c for _, c in kept] + [pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])],
+                [c for _, c in kept] + [pa.array(sequences[at] + of_length - ranks[at]), pa.array(offsets[at])],
                 [k for k, _ in kept] + ["sequence_id", "offset"],
             )
 
-    group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", *[c for c in pieces.columns if c not in ("doc_id", "piece", "length")])
-    ranked = written.withColumn("rank_in_group", F.row_number().over(group))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    own = Window.partitionBy("length", salt).orderBy("doc_id", "piece", *[F.col(f"`{c}`") for c in pieces.columns if c not in ("doc_id", "piece", "length")])
+    ranked = salted.withColumn(rank, F.row_number().over(own))
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Encodes, cuts and packs ``docs(doc_id, text)``; further columns are ignored."""
+    """Encodes, cuts and packs ``docs(doc_id, text)``.
+
+    Null text is empty and becomes a piece of the end id alone; repeated rows and null ids are
+    documents of their own; other columns are ignored; an empty table gives an empty result.
+    """
     return pack(token_pieces(docs, tokenizer_path, capacity), capacity)
