@@ -55,8 +55,12 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         (self.digit,) = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.marks = {"": b""} | {c: self._library([c])[0] for c in MARKS}
+        self.marks = {c: self._library([c])[0] for c in MARKS}
         self.ends = self._plain_ends()
+        self.mark_ids = np.frombuffer(b"\0" * 4 + b"".join(self.marks.values()), "<u4")
+        ends = "".join(sorted(self.ends))
+        # Only marks that are one id each are cut.
+        self.cut = f"([{ends}])[{MARKS}]$" if ends and len(self.mark_ids) == len(MARKS) + 1 else ""
 
     def _library(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from the library.
@@ -98,61 +102,69 @@ class WordIds:
                     apart.discard(word[-1])
         return frozenset(apart)
 
-    def _core(self, word: str) -> tuple[str, str]:
-        """The word without a final full stop or comma, and that mark.
+    def _cores(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Each word without a final full stop or comma, and which mark was cut (0: none).
 
         Both are runs of their own for the pre-tokenizer if one of ``ends`` stands before the mark.
-        ASCII letters are lower-cased as the library would do; other words are left to it.
+        ASCII letters are lower-cased as the library would do, except beside the brackets of added tokens.
         """
-        mark = ""
-        if len(word) > 1 and word[-1] in MARKS and word[-2] in self.ends:
-            word, mark = word[:-1], word[-1]
-        return (word.lower() if word.isascii() and "<|" not in word else word), mark
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words as little-endian unsigned 32-bit integers."""
-        young, old, marks = self.young, self.old, self.marks
+        kept = pc.match_substring(words, "<|")
+        lower = pc.ascii_lower(words)
+        cores = pc.if_else(kept, words, lower) if pc.any(kept).as_py() else lower
+        mark = np.zeros(len(words), np.int64)
+        if self.cut:
+            cores = pc.replace_substring_regex(cores, self.cut, r"\1")
+            shorter = pc.less(pc.binary_length(cores), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+            for k, c in enumerate(MARKS, 1):
+                mark[shorter & pc.ends_with(words, c).to_numpy(zero_copy_only=False)] = k
+        return cores, mark
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as little-endian unsigned 32-bit integers."""
+        young, old = self.young, self.old
         found = list(map(young.get, words))
-        missing: dict[str, int] = {}
-        later: list[tuple[int, str, str]] = []
+        missing = []
         for i in [i for i, ids in enumerate(found) if ids is None]:
             word = words[i]
-            if ids := old.get(word):
+            if (ids := old.get(word)) is not None:
                 found[i] = young[word] = ids
-                continue
-            core, mark = self._core(word)
-            if ids := young.get(core) or old.get(core):
-                found[i] = young[word] = ids + marks[mark] if mark else ids
             else:
-                missing[core] = 0
-                later.append((i, core, mark))
+                missing.append(i)
         if missing:
-            young.update(zip(missing, self._library(list(missing)), strict=True))
-            for i, core, mark in later:
-                found[i] = young[core] + marks[mark] if mark else young[core]
-                young[words[i]] = found[i]
+            names = [words[i] for i in missing]
+            for i, word, ids in zip(missing, names, self._library(names), strict=True):
+                found[i] = young[word] = ids
         if len(young) > self.cache_words:
             self.old, self.young = young, {}
         return found
 
+    @staticmethod
+    def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of ``flat`` one after the other, each with ``room`` free places behind it; and where each ends, from 0 on."""
+        ends = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes + room, out=ends[1:])
+        total = int(ends[-1])
+        kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+        where = np.arange(total, dtype=kind)
+        where += np.repeat((starts - ends[:-1]).astype(kind), sizes + room)
+        return flat[np.minimum(where, max(len(flat) - 1, 0))] if len(flat) else np.zeros(total, "<u4"), ends
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) and offsets (int64, one more than rows). Null counts as empty."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
         at = words.indices.to_numpy(zero_copy_only=False)
-        ids = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        cores, mark = self._cores(words.dictionary)
+        distinct = cores.dictionary_encode()
+        ids = self._ids(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[at]
-        ends = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(each, out=ends[1:])
-        total = int(ends[-1])
-        kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
-        where = np.arange(total, dtype=kind)
-        where += np.repeat((starts[at] - ends[:-1]).astype(kind), each)
-        return flat[where], ends[bounds - bounds[0]]
+        own = distinct.indices.to_numpy(zero_copy_only=False)
+        # The ids of each distinct word with its mark, then those of the words as they come.
+        flat, ends = self._gathered(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(sizes) - sizes)[own], sizes[own], (mark > 0).astype(np.int64))
+        flat[ends[1:][mark > 0] - 1] = self.mark_ids[mark[mark > 0]]
+        flat, ends = self._gathered(flat, ends[:-1][at], np.diff(ends)[at], np.zeros(len(at), np.int64))
+        return flat, ends[bounds - bounds[0]]
 
 
 _loaded: dict[tuple[str, int], WordIds] = {}
