@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
+DASH = "—"
 WHITE = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -57,12 +60,105 @@ def threshold_of(text: str | Column) -> Column:
     return F.when(comparison_of(text).isNotNull(), F.coalesce(ratio, dollars))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scaled(x: Column, power: Column) -> Column:
+    """``x`` (not negative) times ten to the power, rounded to a whole number by its exact binary value, ties to even.
+
+    The product's rounding error is had from the halves of both factors, so that a value that only
+    prints as a tie goes where it belongs. Powers beyond 22 are as good as doubles are.
+    """
+
+    def halves(s: Column) -> Column:
+        high = [v * 134217729.0 - (v * 134217729.0 - v) for v in (s["x"], s["t"])]
+        return let(F.struct(s["x"].alias("x"), s["t"].alias("t"), s["k"].alias("k"), (s["x"] * s["t"]).alias("p"), high[0].alias("xh"), high[1].alias("th")), parts)
+
+    def parts(s: Column) -> Column:
+        xl, tl = s["x"] - s["xh"], s["t"] - s["th"]
+        error = ((s["xh"] * s["th"] - s["p"]) + s["xh"] * tl + xl * s["th"]) + xl * tl
+        up, down = F.floor(s["p"]).cast("double"), F.floor(s["x"] / s["t"]).cast("double")
+        base = F.when(s["k"] >= 0, up).otherwise(down)
+        twice = F.when(s["k"] >= 0, 2 * ((s["p"] - up) + error)).otherwise(2 * (s["x"] - down * s["t"]) / s["t"])
+        return let(F.struct(base.alias("b"), twice.alias("w")), lambda r: let(F.struct((r["b"] - (r["w"] < 0).cast("int")).alias("b"), (r["w"] + 2 * (r["w"] < 0).cast("int")).alias("w")), rounded))
+
+    def rounded(r: Column) -> Column:
+        return (r["b"] + ((r["w"] > 1) | ((r["w"] == 1) & (r["b"] % 2 == 1))).cast("int")).cast("long")
+
+    return let(F.struct(x.alias("x"), F.pow(F.lit(10.0), F.abs(power)).alias("t"), power.alias("k")), halves)
+
+
+def two_decimals(v: Column, grouped: bool = False) -> Column:
+    """A number with two decimals, as C's ``%.2f`` prints it; with commas between thousands if grouped."""
+
+    def text(cents: Column) -> Column:
+        whole = F.floor(cents / 100).cast("long")
+        return F.concat(F.format_number(whole, 0) if grouped else whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+    exact = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), let(_scaled(F.abs(v), F.lit(2)), text))
+    # Beyond this the cents aren't whole numbers of a double.
+    return F.when(F.abs(v) < 4.5e13, exact).otherwise(F.format_string("%,.2f" if grouped else "%.2f", v))
+
+
+def shortest(v: Column) -> Column:
+    """A number with six significant digits and no zeros at the end, as C's ``%g`` prints it; null stays null."""
+
+    def digits(s: Column) -> Column:
+        six = F.when(s["x"] == 0, F.lit(0).cast("long")).otherwise(_scaled(s["x"], 5 - s["k"]))
+        return let(F.struct(six.alias("n"), s["k"].alias("k")), carried)
+
+    def carried(s: Column) -> Column:
+        over = s["n"] == 1_000_000
+        return let(F.struct(F.when(over, F.lit("100000")).otherwise(F.lpad(s["n"].cast("string"), 6, "0")).alias("d"), (s["k"] + over.cast("int")).alias("k")), pointed)
+
+    def pointed(s: Column) -> Column:
+        d, k = s["d"], s["k"]
+        far = (k < -4) | (k > 5)
+        whole = F.when(far, F.lit(1)).otherwise(k + 1)
+        text = F.when(whole > 0, F.concat(F.substring(d, F.lit(1), whole), F.lit("."), F.substring(d, whole + 1, F.lit(6)))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), d))
+        size = F.abs(k).cast("string")
+        power = F.concat(F.when(k < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(size) < 2, F.lit("0")).otherwise(F.lit("")), size)
+        return F.concat(F.regexp_replace(text, r"\.?0*$", ""), F.when(far, power).otherwise(F.lit("")))
+
+    x = F.abs(v)
+    power = F.regexp_extract(F.format_string("%.16e", x), r"e([+-]\d+)$", 1).cast("int")
+    text = let(F.struct(x.alias("x"), power.alias("k")), digits)
+    return F.when(v.isNotNull(), F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), text))
+
+
+def threshold_text(threshold: str, unit: str) -> Column:
+    """A threshold for a report: dollars without cents, else the shortest form and the unit; a dash for null."""
+    v, u = F.col(threshold).cast("double"), F.coalesce(F.col(unit), F.lit(""))
+    other = F.when(u == "", shortest(v)).otherwise(F.trim(F.concat(shortest(v), F.lit(" "), u)))
+    return F.when(v.isNull(), F.lit(DASH)).when(F.upper(F.trim(u)) == "USD", F.concat(F.lit("$"), F.format_string("%,.0f", F.rint(v)))).otherwise(other)
+
+
+def comparison_text(comparison: str) -> Column:
+    """A comparison in words; a dash for none."""
+    return F.coalesce(F.nullif(F.replace(F.col(comparison), F.lit("_"), F.lit(" ")), F.lit("")), F.lit(DASH))
+
+
+def preferred_value(item: str | Column) -> Column:
+    """The formula that a cited value was resolved to, else the value; a dash without either."""
+    x = F.col(item) if isinstance(item, str) else item
+    return F.coalesce(F.nullif(F.get_json_object(x["resolved_value"], "$.formula"), F.lit("")), F.nullif(x["value"], F.lit("")), F.lit(DASH))
+
+
+def escaped(text: str | Column) -> Column:
+    """Text for HTML: the five characters with a meaning there as references."""
+    out = F.col(text) if isinstance(text, str) else text
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def threshold_variants(value: str | Column) -> Column:
     """How a number may stand in a text: two decimals and shortest form, with and without commas."""
     v = F.col(value) if isinstance(value, str) else value
     whole = v.cast("long")
-    short = F.when(F.abs(v) < 1e6, F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", ""))
-    forms = [F.format_string("%.2f", v), short, F.format_string("%,.2f", v), F.when(v == whole, whole.cast("string")), F.when(v == whole, F.format_string("%,d", whole))]
+    forms = [two_decimals(v), shortest(v), two_decimals(v, grouped=True), F.when(v == whole, whole.cast("string")), F.when(v == whole, F.format_string("%,d", whole))]
     return F.array_compact(F.array(*forms))
 
 
@@ -115,10 +211,18 @@ def term_appears(term: str, text: str) -> Column:
     return F.contains(F.col(text), F.col(term)) & F.expr(f"rlike({text}, concat('(?U)', regexp_replace({term}, r'([\\\\^$.|?*+()\\[\\]{{}}])', r'\\\\$1'), '\"?s?\\\\b'))")
 
 
-def truncated_cell(items: str, most: int = 100) -> Column:
-    """The items joined; over ``most`` characters the first and how many more there are."""
-    full = F.array_join(F.filter(items, lambda x: x != ""), "; ")
-    return F.when(F.length(full) <= most, full).otherwise(F.concat(F.get(items, F.lit(0)), F.lit(" +"), (F.size(items) - 1).cast("string"), F.lit(" more")))
+def truncated_cell(items: str | Column, most: int = 100) -> Column:
+    """The items joined; over ``most`` characters the first and how many more there are; a dash for none. Empty and null items don't count."""
+    there = F.filter(items, lambda x: x != "")
+    full = F.array_join(there, "; ")
+    short = F.concat(F.get(there, F.lit(0)), F.lit(" +"), (F.size(there) - 1).cast("string"), F.lit(" more"))
+    return F.when(F.coalesce(F.size(there), F.lit(0)) <= 0, F.lit(DASH)).when(F.length(full) <= most, full).otherwise(short)
+
+
+def left_out(items: str | Column, most: int = 100) -> Column:
+    """What ``truncated_cell`` leaves out, joined; null if nothing."""
+    there = F.filter(items, lambda x: x != "")
+    return F.when(F.length(F.array_join(there, "; ")) > most, F.array_join(F.slice(there, F.lit(2), F.greatest(F.size(there) - 1, F.lit(0))), "; "))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

@@ -5,6 +5,7 @@ All windows are partitioned by document, so their memory is that of one document
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,29 +42,66 @@ def carry_label(blocks: DataFrame, event, order: str = "block_idx") -> DataFrame
     return blocks.withColumn("section_label", F.last(event, ignorenulls=True).over(own))
 
 
-def merge_tables(elements: DataFrame, is_table) -> DataFrame:
-    """``doc_id, island, text``: each table's text joins the block before it; leading tables form one block."""
+def merge_tables(elements: DataFrame, is_table, label: str | None = None) -> DataFrame:
+    """``doc_id, island, text``: each table's text joins the block before it; leading tables form one block.
+
+    With ``label`` also that column, of the block that the tables join.
+    """
     own = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(*SO_FAR)
     marked = elements.withColumn("island", F.sum((~is_table).cast("int")).over(own))
-    return marked.groupBy("doc_id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    parts = marked.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "text", *([label] if label else [])))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text")
+    return parts.select("doc_id", "island", text, *([F.col("parts")[0][label].alias(label)] if label else []))
 
 
 def chunk_blocks(blocks: DataFrame, least: int = P.SHORT_BLOCK) -> DataFrame:
     """Blocks below ``least`` characters join those after them until the sum reaches it.
 
-    ``doc_id, chunk_idx, text, start_block, end_block``; a last short chunk stays. The fold keeps
-    ranges of block places, not texts.
+    ``doc_id, chunk_idx, text, start_block, end_block``; a last short chunk stays. Where ``blocks``
+    have them, also ``page`` and ``section_label``, the first of the joined blocks that isn't null,
+    and ``start_char`` and ``end_char``. A document's blocks are folded in one task, in linear time.
     """
-    ordered = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("b"))
-    fold = f"""aggregate(b,
-        named_struct('done', cast(array() AS array<struct<a: int, z: int>>), 'a', 0, 'n', 0, 'i', 0),
-        (s, x) -> IF(s.n + length(x.text) >= {least},
-            named_struct('done', array_append(s.done, named_struct('a', s.a, 'z', s.i)), 'a', s.i + 1, 'n', 0, 'i', s.i + 1),
-            named_struct('done', s.done, 'a', s.a, 'n', s.n + length(x.text) + 1, 'i', s.i + 1)),
-        s -> IF(s.a < s.i, array_append(s.done, named_struct('a', s.a, 'z', s.i - 1)), s.done))"""
-    ranges = ordered.select("doc_id", "b", F.posexplode(F.expr(fold)).alias("chunk_idx", "r"))
-    text = F.expr("array_join(transform(slice(b, r.a + 1, r.z - r.a + 1), x -> x.text), '\n')")
-    return ranges.select("doc_id", "chunk_idx", text.alias("text"), F.col("r.a").alias("start_block"), F.col("r.z").alias("end_block"))
+    kinds = dict(blocks.dtypes)
+    firsts = [c for c in ("page", "section_label") if c in kinds]
+    offsets = [c for c in ("start_char", "end_char") if c in kinds]
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block_idx")
+        texts, idx = table["text"].to_pylist(), table["block_idx"].to_pylist()
+        ranges, a, n = [], 0, -1
+        for z, text in enumerate(texts):
+            n += 1 + len(text)
+            if n >= least:
+                ranges.append((a, z))
+                a, n = z + 1, -1
+        if a < len(texts):
+            ranges.append((a, len(texts) - 1))
+        out = {
+            "doc_id": pa.array([table["doc_id"][0].as_py()] * len(ranges), table.schema.field("doc_id").type),
+            "chunk_idx": pa.array(range(len(ranges)), pa.int32()),
+            "text": pa.array(["\n".join(texts[a : z + 1]) for a, z in ranges], pa.string()),
+            "start_block": pa.array([idx[a] for a, _ in ranges], pa.int32()),
+            "end_block": pa.array([idx[z] for _, z in ranges], pa.int32()),
+        }
+        for c in firsts:
+            values = table[c].to_pylist()
+            out[c] = pa.array([next((v for v in values[a : z + 1] if v is not None), None) for a, z in ranges], table.schema.field(c).type)
+        if offsets:
+            start, end = (table[c].to_pylist() for c in offsets)
+            out["start_char"] = pa.array([start[a] for a, _ in ranges], pa.int64())
+            out["end_char"] = pa.array([end[z] for _, z in ranges], pa.int64())
+        return pa.table(out)
+
+    schema = f"doc_id {kinds['doc_id']}, chunk_idx int, text string, start_block int, end_block int"
+    schema += "".join(f", {c} {kinds[c]}" for c in firsts) + "".join(f", {c} long" for c in offsets)
+    own = blocks.select("doc_id", F.col("block_idx").cast("int").alias("block_idx"), "text", *firsts, *[F.col(c).cast("long").alias(c) for c in offsets])
+    return own.groupBy("doc_id").applyInArrow(fold, schema)
+
+
+def full_texts(blocks: DataFrame) -> DataFrame:
+    """``doc_id, full_text``: the blocks of each document in order, one newline apart."""
+    held = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text"))).alias("b"))
+    return held.select("doc_id", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("full_text"))
 
 
 def within_budget(chunks: DataFrame, order: str, budget: int = P.PREAMBLE_CHARS) -> DataFrame:

@@ -54,6 +54,11 @@ def _located(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _located(spark, path)
+    return files.exists(where)
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Has a written path deleted when the driver's JVM ends: results that read it live until then."""
     where, files = _located(spark, path)

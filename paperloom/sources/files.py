@@ -3,45 +3,81 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import layout
+from . import pdf
+
 HEADINGS = frozenset({"h1", "h2", "h3", "h4"})
 TEXTUAL = HEADINGS | {"p", "li"}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset({"script", "style"})
+INLINE = frozenset("a abbr b big cite code em font i q s small span strike strong sub sup tt u".split())
 #: Open elements that a start tag ends.
 ENDED_BY = {"p": {"p"}, "li": {"p", "li"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}} | {t: {"p"} for t in ("div", "table", "h1", "h2", "h3", "h4", "ul", "ol")}
 
 
 class _Node:
+    """An element; what its ancestors and descendants are is noted while the tree grows."""
+
+    __slots__ = ("divided", "in_table", "in_text", "parts", "tag", "up")
+
     def __init__(self, tag: str, up: _Node | None):
         self.tag, self.up, self.parts = tag, up, []
+        self.in_table = up is not None and (up.in_table or up.tag == "table")
+        self.in_text = up is not None and (up.in_text or up.tag in TEXTUAL)
+        #: Whether a div or a heading, paragraph or item is inside.
+        self.divided = False
 
 
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", None)
+        self.open: dict[str, int] = {}
+
+    def _end(self) -> None:
+        self.open[self.at.tag] -= 1
+        self.at = self.at.up
+
+    def _make_room(self, ended: set[str]) -> None:
+        """Ends open elements of the names, and inline ones inside them, up to any other element."""
+        while any(map(self.open.get, ended)):
+            at = self.at
+            while at.tag in INLINE:
+                at = at.up
+            if at.tag not in ended:
+                return
+            while self.at is not at:
+                self._end()
+            self._end()
 
     def handle_starttag(self, tag, attrs):
-        while self.at.tag in ENDED_BY.get(tag, ()):
-            self.at = self.at.up
+        if tag in ENDED_BY:
+            self._make_room(ENDED_BY[tag])
         node = _Node(tag, self.at)
         self.at.parts.append(node)
+        if tag == "div" or tag in TEXTUAL:
+            up = self.at
+            while up is not None and not up.divided:
+                up.divided = True
+                up = up.up
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        at = self.at
-        while at.up and at.tag != tag:
-            at = at.up
-        if at.up:
-            self.at = at.up
+        if self.open.get(tag):
+            while self.at.tag != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data):
         if self.at.tag not in SILENT:
@@ -80,20 +116,14 @@ def elements(source: str | bytes | None) -> list[tuple[str, str]]:
     tree.close()
     out = []
     for x in _walk(tree.root):
-        if not isinstance(x, _Node):
-            continue
-        above, up = set(), x.up
-        while up:
-            above.add(up.tag)
-            up = up.up
-        if "table" in above:
+        if not isinstance(x, _Node) or x.in_table:
             continue
         kind, text = "", ""
         if x.tag in TEXTUAL:
             kind, text = "heading" if x.tag in HEADINGS else "text", _text(x)
         elif x.tag == "table":
             kind, text = "table", _rows(x)
-        elif x.tag == "div" and not above & TEXTUAL and not any(isinstance(y, _Node) and y.tag in TEXTUAL | {"div"} for y in _walk(x)):
+        elif x.tag == "div" and not x.in_text and not x.divided:
             kind, text = "text", _text(x)
         if text:
             out.append((kind, text))
@@ -104,21 +134,81 @@ def html_elements(pages: DataFrame, key: str, source: str) -> DataFrame:
     """``doc_id, pos, kind, text`` of each row's HTML (string or binary); null HTML has none."""
     kind = dict(pages.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, x in zip(batch[key], batch[source], strict=True):
-                found = elements(x)
-                yield pd.DataFrame({"doc_id": [k] * len(found), "pos": range(len(found)), "kind": [e[0] for e in found], "text": [e[1] for e in found]})
+            found = [elements(x) for x in batch.column(1).to_pylist()]
+            row = np.repeat(np.arange(len(found)), list(map(len, found)))
+            flat = [e for own in found for e in own]
+            pos = [i for own in found for i in range(len(own))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), pa.array([e[0] for e in flat], pa.string()), pa.array([e[1] for e in flat], pa.string())],
+                ["doc_id", "pos", "kind", "text"],
+            )
+
+    return pages.select(key, source).mapInArrow(run, f"doc_id {kind}, pos int, kind string, text string")
+
+
+def html_blocks(pages: DataFrame, key: str = "doc_id", source: str = "content") -> DataFrame:
+    """Blocks of HTML documents: labels carried from headings and section numbers, tables joined to the block before them, offsets."""
+    found = html_elements(pages, key, source)
+    event = F.when(F.col("kind") != "table", layout.label_of("text", "kind"))
+    labelled = layout.carry_label(found, event, "pos")
+    merged = layout.merge_tables(labelled, F.col("kind") == "table", "section_label")
+    own = Window.partitionBy("doc_id").orderBy("island")
+    blocks = merged.select("doc_id", (F.row_number().over(own) - 1).alias("block_idx"), "text", F.lit(None).cast("int").alias("page"), "section_label")
+    return layout.with_offsets(blocks)
+
+
+def pdf_blocks(files: DataFrame, key: str = "doc_id", source: str = "content") -> DataFrame:
+    """Blocks of PDF documents: one for each page with text, under its own number from 1; no labels; offsets over pages with text."""
+    kind = dict(files.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, t) for i, x in enumerate(batch.column(1).to_pylist()) for n, t in enumerate(map(str.strip, pdf.page_texts(x) if x else []), 1) if t]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())],
+                ["doc_id", "page", "text"],
+            )
 
-    return pages.select(key, source).mapInPandas(run, f"doc_id {kind}, pos int, kind string, text string")
+    pages = files.select(key, source).mapInArrow(run, f"doc_id {kind}, page int, text string")
+    own = Window.partitionBy("doc_id").orderBy("page")
+    blocks = pages.select("doc_id", (F.row_number().over(own) - 1).alias("block_idx"), "text", "page", F.lit(None).cast("string").alias("section_label"))
+    return layout.with_offsets(blocks)
 
 
-def contract_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, suffix, content`` of the files below a path; an unknown suffix fails when it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+#: What reads the files of a suffix: rows ``doc_id, content`` to blocks. More may be added.
+LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {".pdf": pdf_blocks, ".html": html_blocks, ".htm": html_blocks}
+
+
+def with_suffix(files: DataFrame, known: Iterable[str]) -> DataFrame:
+    """``doc_id, suffix, content`` of rows of the ``binaryFile`` source, a file's own name as its id; an unknown suffix fails when it is read."""
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
-    known = F.when(suffix.isin(".htm", ".html", ".pdf"), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), suffix)))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), known.alias("suffix"), "content")
+    checked = F.when(suffix.isin(*known), suffix).otherwise(F.raise_error(F.concat(F.lit("unsupported file type: "), suffix)))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), checked.alias("suffix"), "content")
+
+
+def contract_files(spark: SparkSession, path: str, known: Iterable[str] | None = None) -> DataFrame:
+    """``with_suffix`` of all files below a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return with_suffix(files, LOADERS if known is None else known)
+
+
+def blocks_of_files(files: DataFrame, loaders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Blocks of ``files(doc_id, suffix, content)``, each by the loader of its suffix.
+
+    Each loader scans the files once; contents of other suffixes are filtered out before it.
+    """
+    by_loader: dict[Callable[[DataFrame], DataFrame], list[str]] = {}
+    for suffix, load in (LOADERS if loaders is None else loaders).items():
+        by_loader.setdefault(load, []).append(suffix)
+    # The suffix is read by every branch, so that an unknown one is noticed in each.
+    return reduce(DataFrame.unionByName, [load(files.where(F.col("suffix").isin(*own)).select("doc_id", "content")) for load, own in by_loader.items()])
+
+
+def load_documents(spark: SparkSession, path: str, loaders: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Blocks of all files below a path; a file whose suffix has no loader is an error."""
+    return blocks_of_files(contract_files(spark, path, loaders), loaders)
 
 
 def json_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
