@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import normalized
+from ..plans.stage import materialize
 
 
 @pandas_udf(DoubleType())
@@ -19,17 +20,17 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _window_ratio(q: str, s: str) -> float:
+    block = SequenceMatcher(None, s, q).find_longest_match(0, len(s), 0, len(q))
+    if not block.size:
+        return 0.0
+    return SequenceMatcher(None, s[max(0, block.a - 10) : block.a + block.size + 10], q).ratio()
+
+
 @pandas_udf(DoubleType())
 def window_similarity(quote: pd.Series, source: pd.Series) -> pd.Series:
     """Ratio of a quote and the part of the source around their longest common block."""
-
-    def one(q: str, s: str) -> float:
-        block = SequenceMatcher(None, s, q).find_longest_match(0, len(s), 0, len(q))
-        if not block.size:
-            return 0.0
-        return SequenceMatcher(None, s[max(0, block.a - 10) : block.a + block.size + 10], q).ratio()
-
-    return pd.Series([one(q or "", s or "") for q, s in zip(quote, source, strict=True)], dtype="float64")
+    return pd.Series([_window_ratio(q or "", s or "") for q, s in zip(quote, source, strict=True)], dtype="float64")
 
 
 def audit_exact(pairs: DataFrame, quote: str = "quote", source: str = "source") -> DataFrame:
@@ -42,19 +43,55 @@ def audit_citations(pairs: DataFrame, quote: str = "quote", source: str = "sourc
     """``pairs`` with ``citation_verified`` and ``citation_similarity``.
 
     Exact quotes are decided in the JVM; only the rest goes through difflib, as a union, since a
-    conditional would send every row to Python.
+    conditional would send every row to Python. Both sides are normalised once, in a written table.
     """
     norm = pairs.withColumns({"_q": F.coalesce(normalized(quote), F.lit("")), "_s": F.coalesce(normalized(source), F.lit(""))})
-    exact = (F.col("_q") == "") | F.contains("_s", "_q")
-    sure = norm.where(exact).withColumn("citation_similarity", (F.col("_q") != "").cast("double")).withColumn("citation_verified", F.col("_q") != "")
-    rest = norm.where(~exact).withColumn("citation_similarity", window_similarity("_q", "_s")).withColumn("citation_verified", F.col("citation_similarity") >= least)
-    return sure.unionByName(rest).drop("_q", "_s")
+    norm = materialize(norm.withColumn("_exact", (F.col("_q") == "") | F.contains("_s", "_q")), "quotes")
+    sure = norm.where("_exact").withColumn("citation_similarity", (F.col("_q") != "").cast("double")).withColumn("citation_verified", F.col("_q") != "")
+    rest = norm.where("NOT _exact").withColumn("citation_similarity", window_similarity("_q", "_s")).withColumn("citation_verified", F.col("citation_similarity") >= least)
+    return sure.unionByName(rest).drop("_q", "_s", "_exact")
+
+
+@pandas_udf(ArrayType(DoubleType()))
+def window_similarities(quotes: pd.Series, source: pd.Series) -> pd.Series:
+    """Of several quotes against one source, see ``window_similarity``."""
+    return pd.Series([[_window_ratio(q or "", s or "") for q in qs] for qs, s in zip(quotes, source, strict=True)])
+
+
+def audited(items: DataFrame, documents: DataFrame, item: list[str], quote: str = "quote", text: str = "full_text", least: float = 0.85) -> DataFrame:
+    """``doc_id, item, citation_verified, citation_similarity`` of ``items(doc_id, item..., quote)`` against their documents.
+
+    A document's quotes are gathered, so that its text is normalised once and copied for none of
+    them; exact ones are decided in the JVM. An item whose document is missing is unverified.
+    """
+    quotes = items.select("doc_id", F.struct(*item).alias("i"), F.coalesce(normalized(quote), F.lit("")).alias("q"))
+    held = quotes.groupBy("doc_id").agg(F.collect_list(F.struct("i", "q")).alias("asked"))
+    both = held.join(documents.select("doc_id", F.coalesce(normalized(text), F.lit("")).alias("_s")), "doc_id", "left").withColumn("_s", F.coalesce("_s", F.lit("")))
+    sure = F.filter("asked", lambda x: (x["q"] == "") | F.contains(F.col("_s"), x["q"]))
+    split = materialize(both.withColumn("sure", sure).withColumn("rest", F.filter("asked", lambda x: (x["q"] != "") & ~F.contains(F.col("_s"), x["q"]))).drop("asked"), "asked-quotes")
+    exact = split.select("doc_id", F.explode("sure").alias("x")).select("doc_id", "x.i.*", F.when(F.col("x.q") != "", 1.0).otherwise(0.0).alias("citation_similarity"))
+    ratios = split.where(F.size("rest") > 0).select("doc_id", "rest", window_similarities(F.transform("rest", lambda x: x["q"]), F.col("_s")).alias("r"))
+    fuzzy = ratios.select("doc_id", F.explode(F.arrays_zip("rest", "r")).alias("x")).select("doc_id", "x.rest.i.*", F.col("x.r").alias("citation_similarity"))
+    return exact.unionByName(fuzzy).withColumn("citation_verified", F.col("citation_similarity") >= least)
+
+
+def similar_pairs(pairs: DataFrame, a: str, b: str, least: float, score: str = "score") -> DataFrame:
+    """The pairs whose texts, in lower case and without white space at the ends, have at least this similarity.
+
+    The ratio can't exceed twice the shorter length over both lengths, so most pairs are decided by
+    their lengths and don't go to Python; equal texts have 1.
+    """
+    x, y = (F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")) for c in (a, b))
+    sized = pairs.withColumns({"_x": x, "_y": y}).where(2 * F.least(F.length("_x"), F.length("_y")) >= least * (F.length("_x") + F.length("_y")))
+    same = sized.where("_x = _y").withColumn(score, F.lit(1.0))
+    rest = sized.where("_x <> _y").withColumn(score, similarity("_x", "_y")).where(F.col(score) >= least)
+    return same.unionByName(rest).drop("_x", "_y")
 
 
 def best_first_matches(pairs: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
     """``group, a, b, score``: greedy one-to-one pairs, best score first, ties to the higher a, then b.
 
-    The pairs at or above ``least`` of one group are sorted in one task.
+    The pairs at or above ``least`` of one group are sorted in one task; they are places and scores.
     """
     types = dict(pairs.dtypes)
 
@@ -71,19 +108,24 @@ def best_first_matches(pairs: DataFrame, group: str, a: str, b: str, score: str,
     return pairs.where(F.col(score) >= least).select(group, a, b, score).groupBy(group).applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in (group, a, b, score)))
 
 
-def match_scores(matches: DataFrame, n_extracted: Column | int) -> DataFrame:
-    """Recall, precision and accuracies of ``matches`` (one row per gold row; ``hit``, ``threshold_ok``, ``type_ok``); 1 where nothing counts."""
-    hits = F.count_if("hit")
-    total = n_extracted if isinstance(n_extracted, Column) else F.lit(n_extracted)
+def match_scores(matches: DataFrame, by: str | None = None) -> DataFrame:
+    """Scores of rows ``gold, hit, threshold_ok, type_ok, extra``: a gold item each (``gold`` 1) or an extracted one without match (``extra`` 1).
+
+    Shares are 1 where there is nothing to count.
+    """
+    gold, hits, extra = F.coalesce(F.sum("gold"), F.lit(0)), F.count_if("hit"), F.coalesce(F.sum("extra"), F.lit(0))
 
     def share(x: Column, n: Column) -> Column:
         return F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(1.0))
 
-    return matches.agg(
-        F.count("*").alias("num_gold"),
+    return (matches.groupBy(by) if by else matches.groupBy()).agg(
+        gold.alias("num_gold"),
+        (hits + extra).alias("num_extracted"),
         hits.alias("num_hits"),
-        share(hits, F.count("*")).alias("recall"),
-        share(hits, total).alias("precision"),
+        (gold - hits).alias("num_misses"),
+        extra.alias("num_false_positives"),
+        share(hits, gold).alias("recall"),
+        share(hits, hits + extra).alias("precision"),
         share(F.count_if("threshold_ok"), hits).alias("threshold_accuracy"),
         share(F.count_if("type_ok"), hits).alias("covenant_type_accuracy"),
     )

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.skew import small
+from ..plans.stage import materialize
 from ..session import table
-from ..sources.files import html_elements
-from . import audit, definitions, layout, retrieval
+from ..sources.files import html_blocks as blocks_of_html
+from . import audit, definitions, evaluation, layout, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,9 +51,20 @@ def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("doc_id", "block_idx", F.length("text").cast("long").alias("n_chars"), "start_char", "end_char")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINES_SQL}, r AS (
+  SELECT doc_id, block_idx, length(text) AS n, block_idx AS a, 0 AS c FROM b WHERE block_idx = 0
+  UNION ALL SELECT b.doc_id, b.block_idx, CASE WHEN r.n >= 40 THEN length(b.text) ELSE r.n + 1 + length(b.text) END, CASE WHEN r.n >= 40 THEN b.block_idx ELSE r.a END, CASE WHEN r.n >= 40 THEN r.c + 1 ELSE r.c END
+  FROM r JOIN b ON b.doc_id = r.doc_id AND b.block_idx = r.block_idx + 1
+), o AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM b)
+SELECT r.doc_id, r.c AS chunk_idx, string_agg(o.text, chr(10) ORDER BY o.block_idx) AS text, min(r.block_idx) AS start_block, max(r.block_idx) AS end_block,
+  arg_min(CASE WHEN o.block_idx % 3 = 0 THEN o.block_idx END, o.block_idx) FILTER (o.block_idx % 3 = 0) AS page, min(o.s) AS start_char, max(o.s + length(o.text)) AS end_char
+FROM r JOIN o ON o.doc_id = r.doc_id AND o.block_idx = r.block_idx GROUP BY r.doc_id, r.c"""
+)
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.chunk_blocks(layout.blocks_from_lines(table(spark, sf_dir, "documents")))
+    """Short blocks joined forward; every third block has a page."""
+    blocks = layout.with_offsets(layout.blocks_from_lines(table(spark, sf_dir, "documents")))
+    return layout.chunk_blocks(blocks.withColumn("page", F.when(F.col("block_idx") % 3 == 0, F.col("block_idx"))))
 
 
 @query(
@@ -93,16 +106,17 @@ dots AS (SELECT a.source, a.doc_id, q.doc_id AS q, sum(a.weight * q.weight) AS d
 s AS (SELECT source, doc_id, round(max(dot), 6) AS embedding_score FROM dots GROUP BY ALL)"""
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
-    asked = F.explode(F.array(*[F.struct(F.lit(-i).cast("long").alias("doc_id"), F.lit(t).alias("text")) for i, t in enumerate(ASKED, 1)]))
-    items = docs.unionByName(docs.select("source").distinct().select("source", asked.alias("q")).select("source", "q.doc_id", "q.text"))
-    return retrieval.tfidf(items, "source", "doc_id")
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
 
 
 @query(f"WITH {TFIDF_SQL} SELECT source, doc_id, term, round(weight, 6) AS weight FROM wt")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+    """Weights of the documents of each source and of the queries, which are items of every source."""
+    docs = _items(spark, sf_dir)
+    asked = F.explode(F.array(*[F.struct(F.lit(-i).cast("long").alias("doc_id"), F.lit(t).alias("text")) for i, t in enumerate(ASKED, 1)]))
+    items = docs.unionByName(docs.select("source").distinct().select("source", asked.alias("q")).select("source", "q.doc_id", "q.text"))
+    return retrieval.tfidf(items, "source", "doc_id").withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -114,9 +128,10 @@ SELECT source, doc_id, keyword_match, score, rank FROM (SELECT *, CAST(row_numbe
 )
 def candidate_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: similarity to the queries, keywords, floor and the best five of each source."""
-    scores = retrieval.query_scores(_weights(spark, sf_dir), "source", "doc_id", [-i for i in range(1, len(ASKED) + 1)]).withColumn("embedding_score", F.round("score", 6)).drop("score")
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
-    best = retrieval.top_candidates(docs.join(scores, ["source", "doc_id"], "left"), "source", "doc_id", KEYWORDS, 0.05)
+    docs = _items(spark, sf_dir)
+    scores = retrieval.query_scores(docs, "source", "doc_id", list(ASKED)).withColumn("embedding_score", F.round("score", 6)).drop("score")
+    scores = materialize(scores, "similarities")
+    best = retrieval.top_candidates(docs.join(small(scores), ["source", "doc_id"], "left"), "source", "doc_id", KEYWORDS, 0.05)
     return best.select("source", "doc_id", "keyword_match", "score", "rank")
 
 
@@ -129,14 +144,39 @@ def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(F.greatest(C.cosine("embedding", ones), C.cosine("embedding", signs)), 6).alias("score"))
 
 
-TIERS = {"first": (r"\bzq\w+", r"\?"), "second": (r"\?", r"\w{9,}"), "third": (r"\d", r"\w{6,}")}
+TIERS = {"first": (r"\bzq[a-z]+", r"\?"), "second": (r"\?", r"[a-z]{9,}"), "third": (r"[0-9]", r"[a-z]{6,}")}
 
 
-@query()
+def _tiers_sql(chunks: str, key: str, chunk: str, tiers: dict[str, tuple[str, ...]]) -> str:
+    """CTEs ``p0, p1, ...``: what each attribute takes of the CTE ``chunks``, which has the places already taken out."""
+    out = []
+    for k, (name, patterns) in enumerate(tiers.items()):
+        hits = " UNION ALL ".join(f"SELECT {key}, {t} AS tier, {chunk} FROM {chunks} WHERE regexp_matches(text, '(?i){p}')" for t, p in enumerate(patterns))
+        free = "".join(f" AND NOT EXISTS (SELECT 1 FROM p{j} WHERE p{j}.{key} = h.{key} AND p{j}.{chunk} = h.{chunk})" for j in range(k))
+        out.append(f"p{k} AS (SELECT {key}, '{name}' AS attribute, {k} AS nth, tier, {chunk} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY tier, {chunk}) AS r FROM ({hits}) h WHERE true{free}) WHERE r = 1)")
+    return ", ".join(out)
+
+
+@query(
+    f"WITH {_tiers_sql('conversations', 'conv_id', 'turn', TIERS)} "
+    + " UNION ALL ".join(f"SELECT conv_id, attribute, CAST(tier AS INTEGER) AS tier, turn FROM p{k}" for k in range(len(TIERS)))
+)
 def tiered_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tiered_first_match(table(spark, sf_dir, "conversations"), "conv_id", "turn", TIERS)
 
 
+@query(
+    f"""WITH w AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations),
+free AS (SELECT conv_id, turn, text FROM w WHERE before >= 300), {_tiers_sql('free', 'conv_id', 'turn', TIERS)}
+SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS attribute, 0 AS part, CAST(nth AS INTEGER) AS nth FROM w WHERE before < 300 """
+    + " ".join(f"UNION ALL SELECT conv_id, turn, attribute, 1, {k + 1} FROM p{k}" for k in range(len(TIERS)))
+)
+def loan_term_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading turns within a budget and one more for each attribute, none twice."""
+    found = retrieval.preamble_and_attributes(table(spark, sf_dir, "conversations"), "conv_id", "turn", TIERS, 300)
+    return found.select("conv_id", "turn", "attribute", "ord.part", "ord.nth")
+
+
 @query("""SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS user_text,
 arg_min(text, turn) FILTER (WHERE role = 'assistant' AND text IS NOT NULL) AS assistant_text FROM conversations GROUP BY conv_id""")
 def ordered_coalesce_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,16 +227,71 @@ def basket_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", C.basket("t").alias("b")).select("o_orderkey", "b.*")
 
 
-@query("""WITH g AS (SELECT l.*, d.doc_id IS NOT NULL AS hit, coalesce(d.n_chars > 1000, false) AS t, coalesce(l.quality = 1 AND d.doc_id IS NOT NULL, false) AS k FROM labels l LEFT JOIN documents d USING (doc_id))
-SELECT count(*) AS num_gold, count(*) FILTER (hit) AS num_hits, round(count(*) FILTER (hit) / count(*), 6) AS recall, round(count(*) FILTER (hit) / 1000, 6) AS precision,
-round(count(*) FILTER (t) / count(*) FILTER (hit), 6) AS threshold_accuracy, round(count(*) FILTER (k) / count(*) FILTER (hit), 6) AS covenant_type_accuracy FROM g""")
+#: Gold anchors out of the turns of a conversation: some turns twice, some that no turn holds, some empty.
+GOLD = """SELECT conv_id AS doc_id, turn AS gold_idx, CASE WHEN turn % 4 = 3 THEN 'no such words' WHEN turn % 5 = 4 THEN ' ' ELSE substr(text, 6, 25) END AS anchor,
+  'not_to_exceed' AS comparison, CAST(turn AS DOUBLE) AS threshold, CASE WHEN turn % 2 = 0 THEN 'maintenance' END AS covenant_type FROM {t}
+UNION ALL SELECT conv_id, turn + 100, substr(text, 6, 25), 'not_less_than', CAST(NULL AS DOUBLE), 'maintenance' FROM {t} WHERE turn % 3 = 0"""
+FOUND = """SELECT conv_id AS doc_id, turn AS ext_idx, concat('  ', text, '  and more') AS source_text, CASE WHEN turn % 3 = 0 THEN 'not_less_than' ELSE 'not_to_exceed' END AS comparison,
+  CAST(turn AS DOUBLE) + CASE WHEN turn % 7 = 1 THEN 0.5 ELSE 0 END AS threshold, CASE WHEN turn % 4 <> 1 THEN 'maintenance' END AS covenant_type FROM {t}"""
+
+
+def first_unused_sql(key: str) -> str:
+    """CTEs from ``pairs(key, a, b)`` to ``chosen(key, a, b)``: each a in turn takes the least b that is free."""
+    return f"""per_a AS (SELECT {key}, a, list(DISTINCT b) AS bs, row_number() OVER (PARTITION BY {key} ORDER BY a) AS n FROM pairs GROUP BY {key}, a),
+taking AS (
+  SELECT {key}, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM (SELECT DISTINCT {key} FROM per_a)
+  UNION ALL SELECT {key}, n, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, a, pick FROM (
+    SELECT taking.{key}, p.n, taking.used, p.a, list_min(list_filter(p.bs, lambda x: NOT list_contains(taking.used, x))) AS pick FROM taking JOIN per_a p ON p.{key} = taking.{key} AND p.n = taking.n + 1)
+), chosen AS (SELECT {key}, a, b FROM taking WHERE b IS NOT NULL)"""
+
+
+GOLD_SQL = rf"""gold AS ({GOLD.format(t="conversations")}), found AS ({FOUND.format(t="conversations")}),
+ng AS (SELECT doc_id, gold_idx, lower(trim(regexp_replace(anchor, '{RE2_WHITE}', ' ', 'g'))) AS n FROM gold), nf AS (SELECT doc_id, ext_idx, lower(trim(regexp_replace(source_text, '{RE2_WHITE}', ' ', 'g'))) AS n FROM found),
+pairs AS (SELECT ng.doc_id, gold_idx AS a, ext_idx AS b FROM ng JOIN nf ON ng.doc_id = nf.doc_id AND ng.n <> '' AND contains(nf.n, ng.n)), {first_unused_sql("doc_id")},
+m AS (SELECT g.doc_id, g.gold_idx, c.b AS ext_idx, c.b IS NOT NULL AS hit, coalesce(abs(g.threshold - f.threshold) <= 1e-6, false) AS threshold_correct,
+  c.b IS NOT NULL AND g.comparison IS NOT DISTINCT FROM f.comparison AS comparison_correct, c.b IS NOT NULL AND g.covenant_type IS NOT DISTINCT FROM f.covenant_type AS covenant_type_correct
+  FROM gold g LEFT JOIN chosen c ON c.doc_id = g.doc_id AND c.a = g.gold_idx LEFT JOIN found f ON f.doc_id = c.doc_id AND f.ext_idx = c.b),
+extra AS (SELECT doc_id, ext_idx FROM found f WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.doc_id = f.doc_id AND c.b = f.ext_idx))"""
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = table(spark, sf_dir, "conversations")
+    return evaluation.match_gold(spark.sql(GOLD.format(t="{turns}"), turns=turns), spark.sql(FOUND.format(t="{turns}"), turns=turns))
+
+
+@query(f"WITH RECURSIVE {GOLD_SQL} SELECT * FROM m")
+def gold_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each gold anchor with the first free turn that holds it; misses stay, without a turn."""
+    return _gold(spark, sf_dir)[0]
+
+
+@query(f"WITH RECURSIVE {GOLD_SQL} SELECT doc_id, ext_idx FROM extra")
+def gold_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gold(spark, sf_dir)[1].select("doc_id", "ext_idx")
+
+
+SCORES_SQL = """count(*) FILTER (g) AS num_gold, count(*) FILTER (hit OR NOT g) AS num_extracted, count(*) FILTER (hit) AS num_hits, count(*) FILTER (g AND NOT hit) AS num_misses, count(*) FILTER (NOT g) AS num_false_positives,
+round(coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (g), 0), 1), 6) AS recall, round(coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (hit OR NOT g), 0), 1), 6) AS precision,
+round(coalesce(count(*) FILTER (threshold_correct AND comparison_correct) / nullif(count(*) FILTER (hit), 0), 1), 6) AS threshold_accuracy, round(coalesce(count(*) FILTER (covenant_type_correct) / nullif(count(*) FILTER (hit), 0), 1), 6) AS covenant_type_accuracy
+FROM (SELECT doc_id, true AS g, hit, threshold_correct, comparison_correct, covenant_type_correct FROM m UNION ALL SELECT doc_id, false, false, false, false, false FROM extra)"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"WITH RECURSIVE {GOLD_SQL} SELECT {SCORES_SQL}")
 def gold_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(True).alias("hit"))
-    n_extracted = docs.count()
-    found = table(spark, sf_dir, "labels").join(docs, "doc_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    found = found.withColumn("threshold_ok", F.coalesce(F.col("n_chars") > 1000, F.lit(False))).withColumn("type_ok", F.col("hit") & (F.col("quality") == 1))
-    scores = audit.match_scores(found, n_extracted)
-    return scores.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in scores.dtypes])
+    return _rounded(evaluation.score_gold(*_gold(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {GOLD_SQL}, s AS (SELECT doc_id, {SCORES_SQL} GROUP BY doc_id)
+SELECT doc_id, printf('%-35s recall=%.2f precision=%.2f threshold_acc=%.2f type_acc=%.2f (gold=%d hits=%d misses=%d false_pos=%d)', CAST(doc_id AS VARCHAR), recall, precision, threshold_accuracy, covenant_type_accuracy, num_gold, num_hits, num_misses, num_false_positives) AS line FROM s"""
+)
+def gold_score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A printed line for each conversation."""
+    return evaluation.score_gold(*_gold(spark, sf_dir), by="doc_id").select("doc_id", evaluation.score_line().alias("line"))
 
 
 @query()
@@ -205,7 +300,8 @@ def similarity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     a = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("a"), F.col("text").alias("text_a"))
     b = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("b"), F.col("text").alias("text_b"))
-    return audit.best_first_matches(a.join(b, "conv_id").withColumn("score", audit.similarity("text_a", "text_b")), "conv_id", "a", "b", "score", 0.3)
+    near = audit.similar_pairs(a.join(b, "conv_id"), "text_a", "text_b", 0.3)
+    return audit.best_first_matches(near, "conv_id", "a", "b", "score", 0.3)
 
 
 DEFINED = """SELECT c_nationkey AS doc_id, c_custkey AS chunk_idx, concat('Section ', cast(floor(c_custkey / 20) AS INT)) AS section_label,
@@ -230,18 +326,44 @@ def title_case_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definitions.phrases(table(spark, sf_dir, "documents")).select("doc_id", "phrase")
 
 
-TERMS = "SELECT n_regionkey AS doc_id, n_name AS term, concat('the sum of ', lead(n_name, 1, 'nothing') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), 's and its own ', n_name) AS definition FROM nation"
+#: In regions with an odd key the last term refers back to the first.
+TERMS = """SELECT n_regionkey AS doc_id, n_name AS term, n_nationkey, concat('the sum of ', coalesce(following, CASE WHEN n_regionkey % 2 = 1 THEN head ELSE 'nothing' END), 's and its own ', n_name) AS definition
+FROM (SELECT *, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS following, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS head FROM nation)"""
+#: Where the walk meets each term: in an open chain from the least term that leads to it, in a closed one from the least of all.
+WALK_SQL = f"""t AS ({TERMS}), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_nationkey) - 1 AS pos, count(*) OVER (PARTITION BY doc_id) AS n, min(term) OVER (PARTITION BY doc_id) AS least,
+  min(term) OVER (PARTITION BY doc_id ORDER BY n_nationkey) AS root FROM t), q AS (SELECT *, max(CASE WHEN term = least THEN pos END) OVER (PARTITION BY doc_id) AS start FROM p)"""
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TERMS.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
 
 
 @query(rf"""WITH t AS ({TERMS}) SELECT DISTINCT p.doc_id, p.term AS parent, c.term AS child FROM t p JOIN t c ON p.doc_id = c.doc_id AND p.term <> c.term AND regexp_matches(p.definition, c.term || '"?s?\b')""")
 def term_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.sql(TERMS.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
-    return definitions.reference_edges(terms)
+    return definitions.reference_edges(_terms(spark, sf_dir))
 
 
-@query(rf"""WITH t AS ({TERMS}) SELECT n_regionkey AS doc_id, n_name AS term, false AS on_cycle FROM nation""")
+@query(
+    f"""WITH {WALK_SQL} SELECT doc_id, term, CAST(CASE WHEN doc_id % 2 = 1 THEN (start - 1 - pos + n) % n ELSE row_number() OVER (PARTITION BY doc_id ORDER BY root, pos DESC) - 1 END AS BIGINT) AS place,
+doc_id % 2 = 1 AND (pos + 1) % n = start AS on_cycle FROM q"""
+)
 def resolution_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return definitions.resolution_order(term_reference_edges(spark, sf_dir)).select("doc_id", "term", "on_cycle")
+    """Children before parents; a closed chain is cut where the walk would come back."""
+    return definitions.resolution_order(term_reference_edges(spark, sf_dir))
+
+
+@query(f"""WITH {WALK_SQL} SELECT doc_id, 0 AS nth, string_agg(term, ' > ' ORDER BY (pos - start + n) % n) || ' > ' || any_value(least) AS path FROM q WHERE doc_id % 2 = 1 GROUP BY doc_id""")
+def term_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circular definitions, for review."""
+    return definitions.cycles_of(term_reference_edges(spark, sf_dir)).select("doc_id", "nth", F.array_join("terms", " > ").alias("path"))
+
+
+@query(rf"""WITH {WALK_SQL}, e AS (SELECT DISTINCT p.doc_id, p.term AS parent, c.term AS child FROM t p JOIN t c ON p.doc_id = c.doc_id AND p.term <> c.term AND regexp_matches(p.definition, c.term || '"?s?\b'))
+SELECT q.doc_id, q.term, coalesce(string_agg(e.child, ',' ORDER BY e.child), '') AS children FROM q LEFT JOIN e ON e.doc_id = q.doc_id AND e.parent = q.term AND NOT (q.doc_id % 2 = 1 AND (pos + 1) % n = start) GROUP BY q.doc_id, q.term""")
+def term_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph without the edges that close cycles: each term with its children."""
+    graph, _ = definitions.TermGraph.of_terms(_terms(spark, sf_dir))
+    return graph.children().select("doc_id", "term", F.array_join("children", ",").alias("children"))
 
 
 @query("""WITH r AS (
@@ -257,11 +379,20 @@ def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return definitions.bounded_chain(edges, roots)
 
 
-@query()
+#: Elements of pages without nested blocks, tables or references other than ``&amp;`` and ``&quot;``: the text from a start tag to the next tag of a block.
+PAGES_SQL = r"""pieces AS (SELECT page_id AS doc_id, unnest(string_split(regexp_replace(replace(replace(html, '&quot;', '"'), '&amp;', '&'), '<(/?)(h1|p|li|div|ul|nav|article|footer|head|body|html)\b([^>]*)>', chr(1) || '\1\2' || chr(2), 'g'), chr(1))) AS x,
+  generate_subscripts(string_split(regexp_replace(replace(replace(html, '&quot;', '"'), '&amp;', '&'), '<(/?)(h1|p|li|div|ul|nav|article|footer|head|body|html)\b([^>]*)>', chr(1) || '\1\2' || chr(2), 'g'), chr(1)), 1) AS i FROM pages),
+e AS (SELECT doc_id, i, split_part(x, chr(2), 1) AS tag, array_to_string(list_filter(list_transform(regexp_split_to_array(split_part(x, chr(2), 2), '<[^>]*>'), lambda y: regexp_replace(y, '^[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]+|[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g')), lambda y: y <> ''), ' ') AS text FROM pieces),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS block_idx FROM e WHERE tag IN ('h1', 'p', 'li', 'div') AND text <> '')"""
+
+
+@query(
+    rf"""WITH {PAGES_SQL} SELECT doc_id, block_idx, text, last_value(CASE WHEN tag = 'h1' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_label,
+CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, CAST(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS end_char FROM k"""
+)
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_elements(table(spark, sf_dir, "pages"), "page_id", "html")
-    labelled = layout.carry_label(found, layout.label_of("text", "kind"), "pos")
-    return layout.with_offsets(labelled.withColumnRenamed("pos", "block_idx"))
+    """Scan, labels, tables and offsets of whole pages."""
+    return blocks_of_html(table(spark, sf_dir, "pages"), "page_id", "html").drop("page")
 
 
 @query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")

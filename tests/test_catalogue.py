@@ -6,8 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from paperloom.operators.catalogue import ORACLES, QUERIES
+from paperloom.operators.catalogue_items import catalogue
 
+ORACLES, QUERIES = catalogue.ORACLES, catalogue.QUERIES
 SF = Path("/root/testdata/sf0.001")
 
 
