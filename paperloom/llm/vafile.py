@@ -10,9 +10,9 @@ vector remains if its upper bound reaches the k-th lower bound. Then exact vecto
 order of their upper bounds: the first few of each query give a k-th score, and of the rest only
 those whose upper bound still reaches it are read. So each k-th result is certain.
 
-A block also holds the rank of each vector among those equal to it in the block, by id. Of many
-copies of a vector only the first ``k + 1`` can be among the k best (one may be the query itself), so
-copies don't multiply what remains.
+Of many copies of a vector only those with the ``k + 1`` least ids can be among the k best (one may
+be the query itself). The cells mark the others as spare: they are in the file, but no candidates,
+so copies don't multiply what remains.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.skew import small
+from ..plans.skew import join_by_key, small
 from ..plans.stage import fresh_path, materialize, remove_at_exit
 
 SCALE = 1024
@@ -42,9 +42,11 @@ AT_ONCE = 256
 HELD = 1 << 20
 #: Exact vectors of a query that are read first, as a multiple of ``k``.
 FIRST = 4
+#: Parts in which the copies of one vector are ranked first.
+SALTS = 64
 #: Scaled components must be below this in size, so that their differences fit a long.
 MOST = 1 << 61
-FILE = "exact boolean, block long, n int, dims int, ids binary, cells binary, least binary, width binary, twins binary, at long, vec_id long, vector binary"
+FILE = "exact boolean, block long, n int, dims int, cells binary, least binary, width binary, spare binary, at long, vec_id long, vector binary"
 
 
 def scaled(vectors: pa.ListArray, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -73,40 +75,44 @@ def padded(vectors: list[np.ndarray], dims: int) -> np.ndarray:
     return out
 
 
-def twin_ranks(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The rank of each row among the rows equal to it, by id; 255 and above as 255."""
-    if not x.shape[1]:
-        kind = np.zeros(len(x), np.int64)
-    else:
-        kind = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, 8 * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
-    order = np.lexsort((ids, kind))
-    head = np.concatenate(([True], np.diff(kind[order]) != 0))
-    place = np.arange(len(x))
-    rank = np.empty(len(x), np.int64)
-    rank[order] = place - np.maximum.accumulate(np.where(head, place, 0))
-    return np.minimum(rank, 255).astype(np.uint8)
-
-
-def block_rows(block: int, ids: list[int], vectors: list[np.ndarray], size: int) -> Iterator[dict]:
+def block_rows(block: int, ids: list[int], vectors: list[np.ndarray], spare: list[bool], size: int) -> Iterator[dict]:
     """The file's rows of one block: its cells, then its exact vectors."""
     x = padded(vectors, max(map(len, vectors)))
     least = x.min(axis=0)
     width = (x.max(axis=0) - least) // CELLS + 1
     cells = ((x - least) // width).astype(np.uint8)
-    own = np.array(ids, np.int64)
     yield {
-        "exact": False, "block": block, "n": len(ids), "dims": x.shape[1], "ids": own.astype("<i8").tobytes(), "cells": cells.tobytes(),
-        "least": least.tobytes(), "width": width.tobytes(), "twins": twin_ranks(x, own).tobytes(),
+        "exact": False, "block": block, "n": len(ids), "dims": x.shape[1], "cells": cells.tobytes(),
+        "least": least.tobytes(), "width": width.tobytes(), "spare": bytes(spare),
     }
     for i, (vec_id, v) in enumerate(zip(ids, vectors, strict=True)):
         yield {"exact": True, "at": block * size + i, "vec_id": vec_id, "vector": v.astype("<i8").tobytes()}
 
 
-def approximation_file(vectors: DataFrame, scale: int = SCALE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The written tables ``cells(block, n, dims, ids, cells, least, width, twins)`` and ``exact(at, vec_id, vector)`` of ``vectors(vec_id, embedding)``.
+def with_spare(rows: DataFrame, k: int) -> DataFrame:
+    """``rows(vec_id, embedding)`` with ``spare``: more than ``k`` rows with equal vectors have smaller ids.
+
+    Only vectors whose hash has more than ``k + 1`` rows are grouped, by the vector itself, and the
+    rows of each in salted parts first.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64("embedding"))
+    many = materialize(hashed.where("embedding IS NOT NULL").groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("hash"), "copied")
+    if not many.head(1):
+        return rows.withColumn("spare", F.lit(False))
+    found = hashed.where("embedding IS NOT NULL").join(small(many), "hash", "left_semi").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    part = Window.partitionBy("hash", "embedding", "salt").orderBy("vec_id")
+    first = found.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= k + 1)
+    whole = Window.partitionBy("hash", "embedding").orderBy("vec_id")
+    limits = first.withColumn("nth", F.row_number().over(whole)).where(F.col("nth") == k + 1).select("hash", "embedding", F.col("vec_id").alias("last"))
+    joined = join_by_key(hashed, materialize(limits, "last-copies"), ["hash", "embedding"], ["vec_id"], counted=hashed.select("hash", "embedding"))
+    return joined.select("vec_id", "embedding", F.coalesce(F.col("vec_id") > F.col("last"), F.lit(False)).alias("spare"))
+
+
+def approximation_file(vectors: DataFrame, scale: int = SCALE, block: int = BLOCK, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """The written tables ``cells(block, n, dims, cells, least, width, spare)`` and ``exact(at, vec_id, vector)`` of ``vectors(vec_id, embedding)``.
 
     ``at`` is the number of the block times ``block`` plus the place in it. Rows without an id and
-    those that ``scaled`` leaves out are in neither.
+    those that ``scaled`` leaves out are in neither. The file serves searches for up to ``k`` results.
     """
     spark = vectors.sparkSession
     kinds = {"exact": pa.bool_(), "block": pa.int64(), "n": pa.int32(), "dims": pa.int32(), "at": pa.int64(), "vec_id": pa.int64()}
@@ -116,22 +122,24 @@ def approximation_file(vectors: DataFrame, scale: int = SCALE, block: int = BLOC
         number = TaskContext.get().partitionId() << 24
         ids: list[int] = []
         own: list[np.ndarray] = []
+        spare: list[bool] = []
         for batch in batches:
             kept, found = scaled(batch.column(1), scale)
             ids += batch.column(0).to_numpy(zero_copy_only=False)[kept].tolist()
+            spare += batch.column(2).to_numpy(zero_copy_only=False)[kept].tolist()
             own += found if len(kept) else []
             while len(ids) >= block:
-                yield pa.RecordBatch.from_pylist(list(block_rows(number, ids[:block], own[:block], block)), schema)
-                ids, own, number = ids[block:], own[block:], number + 1
+                yield pa.RecordBatch.from_pylist(list(block_rows(number, ids[:block], own[:block], spare[:block], block)), schema)
+                ids, own, spare, number = ids[block:], own[block:], spare[block:], number + 1
         if ids:
-            yield pa.RecordBatch.from_pylist(list(block_rows(number, ids, own, block)), schema)
+            yield pa.RecordBatch.from_pylist(list(block_rows(number, ids, own, spare, block)), schema)
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL")
     path = fresh_path(spark, "approximation-file")
-    rows.mapInArrow(run, FILE).write.option("compression", "zstd").partitionBy("exact").parquet(path)
+    with_spare(rows, k).mapInArrow(run, FILE).write.option("compression", "zstd").partitionBy("exact").parquet(path)
     remove_at_exit(spark, path)
     read = spark.read.schema(FILE).parquet(path)
-    cells = read.where("NOT exact").select("block", "n", "dims", "ids", "cells", "least", "width", "twins")
+    cells = read.where("NOT exact").select("block", "n", "dims", "cells", "least", "width", "spare")
     return cells, read.where("exact").select("at", "vec_id", "vector")
 
 
@@ -166,8 +174,8 @@ def scan_cells(places: np.ndarray, matrix: np.ndarray, k: int, size: int, blocks
         keep = upper >= best.min(axis=1)[q]
         return [(q[keep], at[keep], upper[keep], lower[keep])]
 
-    for block, n, dims, cells, least, width, twins in blocks:
-        there = np.flatnonzero(np.frombuffer(twins, np.uint8) <= min(k, 254) if k < 255 else np.ones(n, bool))
+    for block, n, dims, cells, least, width, spare in blocks:
+        there = np.flatnonzero(np.frombuffer(spare, np.uint8) == 0)
         at = block * size + there
         own = np.frombuffer(cells, np.uint8).reshape(n, dims)[there].astype(np.float64)
         least, width = np.frombuffer(least, "<i8").astype(np.float64), np.frombuffer(width, "<i8").astype(np.float64)
@@ -202,7 +210,7 @@ def candidates(cells: DataFrame, places: np.ndarray, matrix: np.ndarray, k: int,
         blocks = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in scan_cells(*shared.value, k, block, blocks)], ["q", "at", "upper", "lower"])
 
-    found = materialize(cells.select("block", "n", "dims", "cells", "least", "width", "twins").mapInArrow(run, CANDIDATES), "cell-bounds")
+    found = materialize(cells.select("block", "n", "dims", "cells", "least", "width", "spare").mapInArrow(run, CANDIDATES), "cell-bounds")
     # One row for each query of the group.
     near = found.join(F.broadcast(kth(found, "lower", k)), "q").where("bar IS NULL OR upper >= bar")
     order = Window.partitionBy("q").orderBy(F.desc("upper"), "at")
@@ -260,7 +268,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE,
     empty tables give an empty result.
     """
     spark = vectors.sparkSession
-    cells, exact = approximation_file(vectors, scale, block)
+    cells, exact = approximation_file(vectors, scale, block, k)
     asked = materialize(exact.where(F.col("vec_id") % every == 0), "queries")
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.octet_length("vector")), F.lit(0)).alias("bytes")).first()
     each = max(1, min(queries, QUERY_BYTES // max(size["bytes"], 8)))

@@ -70,7 +70,7 @@ def test_groups_of_queries_run_in_rounds(spark):
 
 
 def test_few_exact_vectors_are_read(spark):
-    """Bounds leave a small share of all pairs, also when a third of the rows are copies of one vector."""
+    """Bounds leave a small share of all pairs, also when a third of the rows are copies of one vector; no query keeps many copies."""
     rows = clustered(4000, 24, seed=9)
     rows = [(i, rows[5][1] if i % 3 == 1 else v) for i, v in rows]
     table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], KIND).repartition(4)
