@@ -19,13 +19,15 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Text bytes that are split and gathered at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words whose ids a worker remembers: the first that it meets, as common words come early; it starts anew where they help no more.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 #: Digits that stand between words in a text for the library.
 DIGITS = "07"
 #: Words that go to the library in one text.
 JOINED_WORDS = 200
+#: Such texts that go to the library at once.
+TEXTS = 50
 #: Final marks that are cut from words before they are looked up.
 MARKS = ".,"
 #: Code points below this may stand before a mark that is cut, if the library agrees.
@@ -83,8 +85,9 @@ class WordIds:
             cuts = np.append(np.arange(0, len(own), JOINED_WORDS), len(own)).astype(np.int32)
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words.take(pa.array(own))), f" {digit} ")
             texts = [f"{t} {digit}" for t in joined.to_pylist()]
-            encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            flat = np.fromiter(chain.from_iterable([e.ids for e in encoded]), "<u4")
+            # A few texts at a time: what the library gives back is many times as large as the ids.
+            found = [np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + TEXTS], add_special_tokens=False)]), "<u4") for a in range(0, len(texts), TEXTS)]
+            flat = np.concatenate(found)
             ends = np.flatnonzero(flat == mark)
             if len(ends) != len(own):
                 raise ValueError("a word without a digit has its id in this vocabulary")
