@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import bound_batches
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
@@ -37,6 +39,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 def staged(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the shared folder and read back with its schema; and the path."""
+    bound_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     remove_at_exit(df.sparkSession, path)
