@@ -87,7 +87,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most ``most`` rows of 12 bytes.
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
+    chosen = materialize(chosen, "toxicity-labels")
+    rows = texts.join(F.broadcast(chosen), "doc_id")
+    if rows.select("doc_id").count() > chosen.count():
+        # Only where ids are repeated are texts exchanged.
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return rows.select("text", "y")
 
 
 def fit(sample: DataFrame, features: int = FEATURES, penalty: float = PENALTY, steps: int = STEPS) -> Model:
