@@ -368,7 +368,7 @@ def report_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _note_sql(label: str, parties: str) -> str:
-    return f"SELECT n_name AS doc_id, '{label}' AS label, array_to_string(list_slice({parties}, 2, NULL), '; ') AS parties FROM nation WHERE n_nationkey % 6 <> 5 AND length(array_to_string({parties}, '; ')) > 100"
+    return f"SELECT n_name AS doc_id, '{label}' AS label, array_to_string(list_slice({parties}, 2, len({parties})), '; ') AS parties FROM nation WHERE n_nationkey % 6 <> 5 AND length(array_to_string({parties}, '; ')) > 100"
 
 
 @query(f"{_note_sql('Other borrowers', _party_sql(10))} UNION ALL {_note_sql('Other lenders', _party_sql(25))}")

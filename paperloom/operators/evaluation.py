@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalized
+from ..functions.columns import normalized, two_decimals
 from ..plans.stage import materialize
 from .audit import match_scores
 
@@ -77,6 +77,7 @@ def score_gold(matches: DataFrame, unmatched: DataFrame, by: str | None = None)
 
 def score_line(name: str | Column = "doc_id") -> Column:
     """One line of text for a row of scores."""
-    values = ["recall", "precision", "threshold_accuracy", "covenant_type_accuracy", "num_gold", "num_hits", "num_misses", "num_false_positives"]
-    shape = "%-35s recall=%.2f precision=%.2f threshold_acc=%.2f type_acc=%.2f (gold=%d hits=%d misses=%d false_pos=%d)"
-    return F.format_string(shape, (F.col(name) if isinstance(name, str) else name).cast("string"), *[F.col(v) for v in values])
+    shares = [two_decimals(F.col(v)) for v in ("recall", "precision", "threshold_accuracy", "covenant_type_accuracy")]
+    counts = [F.col(v) for v in ("num_gold", "num_hits", "num_misses", "num_false_positives")]
+    shape = "%-35s recall=%s precision=%s threshold_acc=%s type_acc=%s (gold=%d hits=%d misses=%d false_pos=%d)"
+    return F.format_string(shape, (F.col(name) if isinstance(name, str) else name).cast("string"), *shares, *counts)
