@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from paperloom.llm import nearcopies
 
@@ -39,3 +41,48 @@ def test_one_of_each_group_by_brute_force(spark):
     got = {r.doc_id for r in corpus_pipeline.keep_one_of_group(spark, docs, "").collect()}
     assert got == set(low)
     assert {r.doc_id for r in nearcopies.keep_first(docs, crowd=1000).collect()} == set(low)
+
+
+def test_fingerprints_by_plain_counting():
+    """A bit of a fingerprint is 1 if over half of the shingles have it; segments are its bits, one after the other."""
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 9, 100, 5000):
+        hashes = draw.integers(0, 1 << 63, n).astype("<u8")
+        words = nearcopies.fingerprint_words(14)
+        ones = np.unpackbits(nearcopies.expanded(hashes, words).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=int)
+        own = nearcopies.fingerprint(hashes, words)
+        bits = (2 * ones > n).astype(int).tolist()
+        assert np.unpackbits(own.view(np.uint8), bitorder="little").tolist() == bits
+        got = nearcopies.segments(own[None, :], 14)[0].tolist()
+        assert got == [sum(bits[128 + 14 * k + j] << j for j in range(14)) for k in range(72)]
+
+
+def test_texts_at_the_limit_meet_in_the_index(spark):
+    """Of 300 pairs at a similarity of 0.8 all are linked; they differ in as many bits as the segments are made for."""
+    draw, rows, shares = random.Random(5), [], []
+    for _ in range(300):
+        base = [draw.randrange(10**6) for _ in range(94)]
+        other = [*base[:84], *(draw.randrange(10**6) for _ in range(10))]
+        rows += [" ".join(map(str, base)), " ".join(map(str, other))]
+        a, b = (nearcopies.shingle_hashes(t) for t in rows[-2:])
+        common = len(np.intersect1d(a, b))
+        assert 5 * common == 4 * (len(a) + len(b) - common)
+        x, y = (nearcopies.fingerprint(h, 40) for h in (a, b))
+        shares.append(np.bitwise_count(x ^ y).sum() / 2560)
+    assert max(shares) < nearcopies.near_bits(2560) / 2560
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_group(spark, docs, "").collect()} == set(range(0, 600, 2))
+
+
+def test_pairs_of_crowded_entries_without_a_leader(spark):
+    """Texts of one base, near only where they lack the same words of it: they share what all the others share too."""
+    draw, rows = random.Random(11), []
+    for k, places in enumerate(draw.sample([(p, q) for p in range(5, 115, 5) for q in range(p + 5, 115, 5)], 40)):
+        rows += [" ".join(f"x{k} {copy} {at}".replace(" ", "-") if at in places else f"w{at}" for at in range(120)) for copy in range(3)]
+    draw.shuffle(rows)
+    sets = [shingles(t) for t in rows]
+    low = [min(j for j, t in enumerate(sets) if 5 * len(s & t) >= 4 * len(s | t)) for s in sets]
+    assert len(set(low)) == 40
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for crowd in (2, nearcopies.CROWD, 1000):
+        assert {r.doc_id for r in nearcopies.keep_first(docs, crowd=crowd).collect()} == set(low)
