@@ -58,7 +58,7 @@ LEAST_BITS, MOST_BITS = 12, 31
 CROWD = 8
 #: Tasks that the pairs of a text in crowded entries are dealt to.
 SALTS = 64
-#: Texts of a crowded entry that are held against all others of it in one place.
+#: Texts of a crowded entry that meet those outside its largest component in one place.
 BLOCK = 256
 #: Shingles whose bits are counted at once.
 COUNTED = 2048
@@ -208,11 +208,11 @@ def candidates(distinct: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, Data
     # A text has a row for each segment at most.
     known = many.withColumn("stands", F.count("*").over(Window.partitionBy("text_key")))
     leaders = known.groupBy("entry").agg(F.max_by(F.struct(F.col("text_key").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high")), F.struct("stands", "text_key")).alias("leader"))
-    # Few rows for each crowded entry; an entry's own rows are dealt by text, so none gathers in a task.
-    dealt = leaders.selectExpr("entry", "leader.*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    stars = many.withColumn("salt", _dealt("text_key")).join(dealt, ["entry", "salt"])
+    # One row for each crowded entry.
+    leaders, _ = staged(leaders.select("entry", "leader.*"), "leaders")
+    stars = join_by_key(many, leaders, ["entry"], ["text_key"], "inner")
     stars = stars.withColumnRenamed("text_key", "b").where(f"a <> b AND {_near('a_', '')}")
-    return pairs.union(stars.select("a", "b", "salt")).distinct(), many
+    return pairs.union(stars.select("a", "b", _dealt("b").alias("salt"))).distinct(), many
 
 
 def _alike(words: int) -> str:
@@ -226,6 +226,7 @@ def pairs_apart(distinct: DataFrame, many: DataFrame, parts: DataFrame, words: i
 
     ``many`` and ``parts(text_key, group_key)`` are written tables. All pairs of an entry but those
     within one component are compared: each text outside the entry's largest component with all others.
+    Only the texts outside are repeated, one row for each block of the entry.
     """
     placed = join_by_key(many, parts, ["text_key"], ["entry"]).withColumn("group_key", F.coalesce("group_key", "text_key"))
     placed, _ = staged(placed, "placed")
@@ -234,8 +235,8 @@ def pairs_apart(distinct: DataFrame, many: DataFrame, parts: DataFrame, words: i
     opened = opened.where("groups > 1").selectExpr("entry", "main", f"CAST(ceil(held / {BLOCK}) AS int) AS blocks")
     opened, _ = staged(opened, "opened")
     there, _ = staged(placed.join(small(opened), "entry").join(distinct.select("text_key", "n", "fp"), "text_key"), "there")
-    ones = there.where("group_key <> main").selectExpr("entry", "text_key AS a", "low AS a_low", "high AS a_high", "group_key AS a_group", "n AS n_a", "fp AS fp_a", "pmod(xxhash64(text_key), blocks) AS block")
-    others = there.selectExpr("entry", "main", "text_key AS b", "low AS b_low", "high AS b_high", "group_key AS b_group", "n AS n_b", "fp AS fp_b", "explode(sequence(0L, blocks - 1L)) AS block")
+    ones = there.where("group_key <> main").selectExpr("entry", "text_key AS a", "low AS a_low", "high AS a_high", "group_key AS a_group", "n AS n_a", "fp AS fp_a", "explode(sequence(0L, blocks - 1L)) AS block")
+    others = there.selectExpr("entry", "main", "text_key AS b", "low AS b_low", "high AS b_high", "group_key AS b_group", "n AS n_b", "fp AS fp_b", "pmod(xxhash64(text_key), blocks) AS block")
     met = ones.join(others, ["entry", "block"]).where(f"a_group <> b_group AND (b_group = main OR a < b) AND {_near('a_', 'b_')} AND {_alike(words)}")
     return met.select("a", "b", _dealt("b").alias("salt")).distinct()
 

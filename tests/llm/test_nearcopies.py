@@ -86,3 +86,70 @@ def test_pairs_of_crowded_entries_without_a_leader(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     for crowd in (2, nearcopies.CROWD, 1000):
         assert {r.doc_id for r in nearcopies.keep_first(docs, crowd=crowd).collect()} == set(low)
+
+
+def exploded(df):
+    """Rows that come out of the explode nodes that keep ``entry`` when ``df`` is run."""
+
+    def nodes(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return nodes(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return nodes(plan.plan())
+        children = plan.children()
+        own = [plan] if kind == "GenerateExec" and "entry" in [a.name() for a in items(plan.requiredChildOutput())] else []
+        return own + [n for child in items(children) for n in nodes(child)]
+
+    def items(seq):
+        return [seq.apply(k) for k in range(seq.size())]
+
+    df.collect()
+    return sum(n.metrics().apply("numOutputRows").value() for n in nodes(df._jdf.queryExecution().executedPlan()))
+
+
+def crowded_texts(spark):
+    """Signatures of 60 near copies of one text and of 8 further from it, which share entries with them."""
+    draw = random.Random(13)
+    base, rows = [f"w{at}" for at in range(400)], []
+    for k, changes in enumerate([2] * 60 + [16, 20, 24, 28] * 2):
+        text = list(base)
+        for at in draw.sample(range(400), changes):
+            text[at] = f"x{k}-{at}"
+        rows.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return nearcopies.materialize(nearcopies.signatures(docs, 12).select("text_key", "n", "fp", "segments"), "test-distinct")
+
+
+def test_leaders_are_not_repeated_beyond_the_texts_of_their_entries(spark):
+    """Leaders have no more rows than it takes for the texts of their entries, few where they are few."""
+    distinct = crowded_texts(spark)
+    pairs, many = nearcopies.candidates(distinct)
+    held = [r["count"] for r in many.groupBy("entry").count().collect()]
+    assert min(held) > nearcopies.CROWD
+    assert exploded(pairs) <= sum(-(-n // nearcopies.BLOCK) for n in held)
+
+
+def test_blocks_of_crowded_entries(spark, monkeypatch):
+    """Entries in many blocks: the same candidates and pairs as in one, and only texts outside the largest component are repeated."""
+    distinct = crowded_texts(spark)
+    near = {r.text_key for r in distinct.where("n > 0").collect()}
+    words, got = nearcopies.fingerprint_words(12), []
+    for block in (256, 4):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        pairs, many = nearcopies.candidates(distinct)
+        links = nearcopies.near_pairs(distinct, pairs, words)
+        # One component of all but six texts.
+        apart = set(sorted(near)[:6])
+        parts = nearcopies.materialize(distinct.selectExpr("text_key", f"CASE WHEN text_key IN ({', '.join(map(str, apart))}) THEN text_key ELSE 0L END AS group_key"), "test-parts")
+        met = nearcopies.pairs_apart(distinct, many, parts, words)
+        got.append([{(r.a, r.b) for r in df.collect()} for df in (pairs, links, met)])
+        entries = {}
+        for r in many.collect():
+            entries.setdefault(r.entry, []).append(r.text_key)
+        outside = {e: len(apart & set(keys)) for e, keys in entries.items()}
+        # The largest component of an entry may be a text of its own only where none of the others is there.
+        assert all(len(keys) > outside[e] + 1 for e, keys in entries.items())
+        assert exploded(met) == sum(outside[e] * -(-len(keys) // block) for e, keys in entries.items())
+    assert got[0] == got[1]
+    assert all(got[0])
