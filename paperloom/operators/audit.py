@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -75,14 +77,18 @@ def audited(items: DataFrame, documents: DataFrame, item: list[str], quote: str
     return exact.unionByName(fuzzy).withColumn("citation_verified", F.col("citation_similarity") >= least)
 
 
+def plain_name(text: str | Column) -> Column:
+    """Lower case, without white space at the ends; null as the empty text."""
+    return F.lower(F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
+
+
 def similar_pairs(pairs: DataFrame, a: str, b: str, least: float, score: str = "score") -> DataFrame:
     """The pairs whose texts, in lower case and without white space at the ends, have at least this similarity.
 
     The ratio can't exceed twice the shorter length over both lengths, so most pairs are decided by
     their lengths and don't go to Python; equal texts have 1.
     """
-    x, y = (F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")) for c in (a, b))
-    sized = pairs.withColumns({"_x": x, "_y": y}).where(2 * F.least(F.length("_x"), F.length("_y")) >= least * (F.length("_x") + F.length("_y")))
+    sized = pairs.withColumns({"_x": plain_name(a), "_y": plain_name(b)}).where(2 * F.least(F.length("_x"), F.length("_y")) >= least * (F.length("_x") + F.length("_y")))
     same = sized.where("_x = _y").withColumn(score, F.lit(1.0))
     rest = sized.where("_x <> _y").withColumn(score, similarity("_x", "_y")).where(F.col(score) >= least)
     return same.unionByName(rest).drop("_x", "_y")
@@ -91,21 +97,26 @@ def similar_pairs(pairs: DataFrame, a: str, b: str, least: float, score: str = "
 def best_first_matches(pairs: DataFrame, group: str, a: str, b: str, score: str, least: float) -> DataFrame:
     """``group, a, b, score``: greedy one-to-one pairs, best score first, ties to the higher a, then b.
 
-    The pairs at or above ``least`` of one group are sorted in one task; they are places and scores.
+    The pairs at or above ``least`` are sorted within each task and read once; only the places that
+    one group has used so far are held.
     """
     types = dict(pairs.dtypes)
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for r in part.sort_values([score, a, b], ascending=False).itertuples(index=False):
-            x, y = getattr(r, a), getattr(r, b)
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                rows.append((getattr(r, group), x, y, getattr(r, score)))
-        return pd.DataFrame(rows, columns=[group, a, b, score])
-
-    return pairs.where(F.col(score) >= least).select(group, a, b, score).groupBy(group).applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in (group, a, b, score)))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used_a, used_b, begun = None, set(), set(), False
+        for batch in batches:
+            kept = []
+            for k, (g, x, y) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if not begun or g != at:
+                    at, used_a, used_b, begun = g, set(), set(), True
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = pairs.where(F.col(score) >= least).select(group, a, b, score).repartition(group).sortWithinPartitions(group, F.desc(score), F.desc(a), F.desc(b))
+    return rows.mapInArrow(pick, ", ".join(f"`{c}` {types[c]}" for c in (group, a, b, score)))
 
 
 def match_scores(matches: DataFrame, by: str | None = None) -> DataFrame:

@@ -18,6 +18,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that exchanges it, whatever its size is taken for.
+
+    A written table of places packs into a fiftieth of its rows in memory, so Spark would send
+    millions of rows to the driver for a broadcast.
+    """
+    return df.hint("merge")
+
+
 def free_name(columns: list[str], base: str) -> str:
     """``base``, or it with underscores before it, so that no column has the name in any case."""
     taken = {c.lower() for c in columns}
