@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -20,6 +21,7 @@ TEXTUAL = HEADINGS | {"p", "li"}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset({"script", "style"})
 INLINE = frozenset("a abbr b big cite code em font i q s small span strike strong sub sup tt u".split())
+WHOLE_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 #: Open elements that a start tag ends.
 ENDED_BY = {"p": {"p"}, "li": {"p", "li"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}} | {t: {"p"} for t in ("div", "table", "h1", "h2", "h3", "h4", "ul", "ol")}
 
@@ -106,13 +108,19 @@ def _rows(table: _Node) -> str:
     return "\n".join(lines)
 
 
-def elements(source: str | bytes | None) -> list[tuple[str, str]]:
+def elements(source: str | bytes | None, lenient: bool = True) -> list[tuple[str, str]]:
     """``(kind, text)`` in document order: headings, paragraphs and items outside tables, leaf divs
-    without any of those, and outermost tables. Character references are decoded before parsing."""
+    without any of those, and outermost tables. Character references are decoded before parsing.
+
+    ``lenient``, as browsers have it: what lacks its semicolon (``&amp``) is a reference too, and what
+    decoding yields is decoded again. Otherwise only whole references are decoded, once.
+    """
     if source is None:
         return []
+    text = source.decode("utf-8", "replace") if isinstance(source, bytes) else source
     tree = _Tree()
-    tree.feed(html.unescape(source.decode("utf-8", "replace") if isinstance(source, bytes) else source))
+    # The parser decodes what it is fed, so an ampersand that stays is fed as a reference.
+    tree.feed(html.unescape(text) if lenient else WHOLE_REFERENCE.sub(lambda m: html.unescape(m[0]), text).replace("&", "&amp;"))
     tree.close()
     out = []
     for x in _walk(tree.root):
@@ -130,13 +138,13 @@ def elements(source: str | bytes | None) -> list[tuple[str, str]]:
     return out
 
 
-def html_elements(pages: DataFrame, key: str, source: str) -> DataFrame:
-    """``doc_id, pos, kind, text`` of each row's HTML (string or binary); null HTML has none."""
+def html_elements(pages: DataFrame, key: str, source: str, lenient: bool = True) -> DataFrame:
+    """``doc_id, pos, kind, text`` of each row's HTML (string or binary), see ``elements``; null HTML has none."""
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [elements(x) for x in batch.column(1).to_pylist()]
+            found = [elements(x, lenient) for x in batch.column(1).to_pylist()]
             row = np.repeat(np.arange(len(found)), list(map(len, found)))
             flat = [e for own in found for e in own]
             pos = [i for own in found for i in range(len(own))]
@@ -148,10 +156,13 @@ def html_elements(pages: DataFrame, key: str, source: str) -> DataFrame:
     return pages.select(key, source).mapInArrow(run, f"doc_id {kind}, pos int, kind string, text string")
 
 
-def html_blocks(pages: DataFrame, key: str = "doc_id", source: str = "content") -> DataFrame:
-    """Blocks of HTML documents: labels carried from headings and section numbers, tables joined to the block before them, offsets."""
-    found = html_elements(pages, key, source)
-    event = F.when(F.col("kind") != "table", layout.label_of("text", "kind"))
+def html_blocks(pages: DataFrame, key: str = "doc_id", source: str = "content", lenient: bool = True, numbered: bool = True) -> DataFrame:
+    """Blocks of HTML documents: labels carried from headings and section numbers, tables joined to the block before them, offsets.
+
+    Not ``numbered``: only headings set labels. Pages aren't contracts: there an address (28.68.191.238) isn't a section.
+    """
+    found = html_elements(pages, key, source, lenient)
+    event = F.when(F.col("kind") != "table", layout.label_of("text", "kind")) if numbered else F.when(F.col("kind") == "heading", F.col("text"))
     labelled = layout.carry_label(found, event, "pos")
     merged = layout.merge_tables(labelled, F.col("kind") == "table", "section_label")
     own = Window.partitionBy("doc_id").orderBy("island")
