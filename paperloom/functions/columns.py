@@ -162,9 +162,14 @@ def threshold_variants(value: str | Column) -> Column:
     return F.array_compact(F.array(*forms))
 
 
-def grounded(value: str | Column, quote: str) -> Column:
-    """Whether any form of the number occurs in the quote."""
-    return F.exists(threshold_variants(value), lambda form: F.contains(F.col(quote), form))
+def grounded(value: str | Column, quote: str, variants: Callable[[str | Column], Column] = threshold_variants) -> Column:
+    """Whether any form of the number occurs in the quote; ``variants`` gives the forms."""
+    return F.exists(variants(value), lambda form: F.contains(F.col(quote), form))
+
+
+def money_variants(value: str | Column) -> Column:
+    """The one form of an amount of money: two decimals, commas between thousands."""
+    return F.array_compact(F.array(two_decimals(F.col(value) if isinstance(value, str) else value, grouped=True)))
 
 
 def covenant_checks(quote: str, comparison: str, threshold: str, tolerance: float = 1e-6) -> Column:
