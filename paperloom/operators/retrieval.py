@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions.columns import cosine, keyword_match
-from ..plans.skew import join_by_key, small
+from ..plans.skew import BROADCAST_ROWS, dealt, join_by_key, small
 from ..plans.stage import materialize
 
 #: What isn't part of a term, and the least length of one.
 BREAKS, LEAST_TERM = "[^a-z0-9_]+", 2
+#: Texts whose terms are counted before they are passed on.
+COUNTED_TEXTS = 200
 
 
 def terms_of(text: str | Column, stop: tuple[str, ...] = ()) -> Column:
@@ -28,36 +34,71 @@ def terms_of(text: str | Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def term_counts(items: DataFrame, group: str, item: str, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
-    """``group, item, term, tf``, written; the empty term once for each item, so that items can be counted."""
-    rows = items.select(group, item, F.explode(F.concat(terms_of(text, stop), F.array(F.lit("")))).alias("term"))
-    return materialize(rows.groupBy(group, item, "term").agg(F.count("*").alias("tf")), "term-counts")
+    """``group, item, term, tf``, written; the empty term once for each item, so that items can be counted.
+
+    The terms of a row are counted where it is read; only if an item has several rows are counts exchanged.
+    """
+    word = re.compile(f"[a-z0-9_]{{{LEAST_TERM},}}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, COUNTED_TEXTS):
+                batch = whole.slice(start, COUNTED_TEXTS)
+                found = [Counter(word.findall(t)) for t in batch.column(2).to_pylist()]
+                for own in found:
+                    for w in stop:
+                        own.pop(w, None)
+                    own[""] = 1
+                row = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+                terms, tf = (pa.array(chain.from_iterable(x), kind) for x, kind in ((found, pa.string()), ((own.values() for own in found), pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), terms, tf], [group, item, "term", "tf"])
+
+    rows = items.select(group, item, F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    schema = StructType([rows.schema[group], rows.schema[item], StructField("term", StringType()), StructField("tf", LongType())])
+    counts = materialize(rows.mapInArrow(count, schema), "term-counts")
+    if counts.where("term = ''").groupBy(group, item).count().where("count > 1").isEmpty():
+        return counts
+    return materialize(counts.groupBy(group, item, "term").agg(F.sum("tf").alias("tf")), "term-counts")
 
 
 def inverse_frequencies(counts: DataFrame, group: str) -> DataFrame:
-    """``group, term, idf``, written: smoothed, from the items of each group."""
+    """``group, term, df, idf``, written: smoothed, from the items of each group."""
     df = materialize(counts.groupBy(group, "term").agg(F.count("*").alias("df")), "term-items")
     n = materialize(df.where("term = ''").select(group, F.col("df").alias("n")), "items")
     both = join_by_key(df.where("term <> ''"), n, [group], ["term"], "inner")
-    return materialize(both.select(group, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    return materialize(both.select(group, "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
 
 
-def weighted(counts: DataFrame, group: str, item: str, only: list[str] | None = None) -> DataFrame:
-    """``group, item, norm, terms``: an item's norm over all its terms, and ``term, w`` of its terms, or of those among ``only``.
+def weights(counts: DataFrame, group: str, item: str) -> DataFrame:
+    """``group, item, term, tf, w``: counts times inverse frequencies.
 
-    One exchange: weights meet the inverse frequencies by a broadcast or a join that deals common
-    terms of a large group, and gather by item.
+    The most common terms, which are nearly all rows, meet a broadcast; only rows of the others are
+    exchanged, and none of those is common enough to fill a task.
     """
-    rows = join_by_key(counts.where("term <> ''"), inverse_frequencies(counts, group), [group, "term"], [item], "inner").withColumn("w", F.col("tf") * F.col("idf"))
-    kept = F.struct("term", "w")
-    if only is not None:
-        kept = F.when(F.col("term").isin(*only), kept)
-    return rows.groupBy(group, item).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(kept).alias("terms"))
+    keys, rows, found = [group, "term"], counts.where("term <> ''"), inverse_frequencies(counts, group)
+    if found.count() <= BROADCAST_ROWS:
+        both = rows.join(F.broadcast(found), keys)
+    else:
+        common = F.broadcast(materialize(found.orderBy(F.desc("df")).limit(BROADCAST_ROWS), "common-terms"))
+        both = rows.join(common, keys).unionByName(rows.join(common.select(*keys), keys, "left_anti").join(dealt(found), keys))
+    return both.select(group, item, "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
+
+
+def weighted(counts: DataFrame, group: str, item: str, only: list[str]) -> DataFrame:
+    """``group, item, norm, terms``: an item's norm over all its terms, and ``term, w`` of those among ``only``.
+
+    What an item gathers is a number for each of those terms, so rows add up before the exchange.
+    """
+    held = weights(counts, group, item).groupBy(group, item).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *[F.max(F.when(F.col("term") == t, F.col("w"))).alias(f"_w{i}") for i, t in enumerate(only)])
+    kept = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_w{i}").alias("w")) for i, t in enumerate(only)]) if only else F.array().cast("array<struct<term:string,w:double>>")
+    return held.select(group, item, "norm", F.filter(kept, lambda t: t["w"].isNotNull()).alias("terms"))
 
 
 def tfidf(items: DataFrame, group: str, item: str, text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
     """``group, item, term, weight``: smoothed idf within each group, rows of unit length. Items without terms have no rows."""
-    held = weighted(term_counts(items, group, item, text, stop), group, item)
-    return held.select(group, item, "norm", F.explode("terms").alias("t")).select(group, item, "t.term", (F.col("t.w") / F.col("norm")).alias("weight"))
+    rows = weights(term_counts(items, group, item, text, stop), group, item)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, item)))
+    return rows.select(group, item, "term", (F.col("w") / norm).alias("weight"))
 
 
 def query_scores(items: DataFrame, group: str, item: str, queries: list[str], text: str = "text", stop: tuple[str, ...] = ()) -> DataFrame:
@@ -85,8 +126,6 @@ def query_scores(items: DataFrame, group: str, item: str, queries: list[str], te
 
 def python_terms(text: str, stop: tuple[str, ...] = ()) -> list[str]:
     """``terms_of`` for a query's text."""
-    import re
-
     return [w for w in re.split(BREAKS, text.lower()) if len(w) >= LEAST_TERM and w not in stop]
 
 
