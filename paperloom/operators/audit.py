@@ -22,11 +22,34 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: From this length of its second text on difflib leaves out frequent characters.
+AUTOJUNK = 200
+
+
+def longest_block(s: str, q: str) -> tuple[int, int]:
+    """Start in ``s`` and length of the longest common block, the first in ``s``, as difflib finds it.
+
+    A block can't be longer than the longest so far unless it holds one more character, so a quote
+    takes about two searches for each of its characters, whatever the source's length.
+    """
+    if len(q) >= AUTOJUNK:
+        block = SequenceMatcher(None, s, q).find_longest_match(0, len(s), 0, len(q))
+        return block.a, block.size
+    size = at = 0
+    for j in range(len(q)):
+        found = -1
+        while j + size < len(q) and (i := s.find(q[j : j + size + 1])) >= 0:
+            found, size = i, size + 1
+        if found >= 0:
+            at = found
+        elif size and j + size <= len(q) and 0 <= (i := s.find(q[j : j + size], 0, at + size)) < at:
+            at = i
+    return at, size
+
+
 def _window_ratio(q: str, s: str) -> float:
-    block = SequenceMatcher(None, s, q).find_longest_match(0, len(s), 0, len(q))
-    if not block.size:
-        return 0.0
-    return SequenceMatcher(None, s[max(0, block.a - 10) : block.a + block.size + 10], q).ratio()
+    at, size = longest_block(s, q)
+    return SequenceMatcher(None, s[max(0, at - 10) : at + size + 10], q).ratio() if size else 0.0
 
 
 @pandas_udf(DoubleType())
